@@ -15,41 +15,39 @@ def hash_order(seed: int, key: Column) -> Column:
 
 
 def _number(df: DataFrame, groups: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
-    sizes = df.groupBy(*groups, bucket).agg(F.count("*").alias("_size"))
+    """Number rows inside each group: rows in earlier buckets plus the position in the own one."""
+    keys = [*groups, bucket]
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
     before = W.partitionBy(*groups).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    keys = [*groups, bucket]
-    match = [df[k].eqNullSafe(offsets[k]) for k in keys]
-    joined = df.join(offsets, match, "left").select(*[df[c] for c in df.columns], "_before")
     inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return joined.withColumn(name, (F.col("_before") + inside).cast("bigint")).drop("_before", bucket)
+    return (df.join(offsets, keys).withColumn(name, (F.col("_before") + inside).cast("bigint"))
+            .drop("_before", bucket))
 
 
 def shuffled_position(df: DataFrame, groups: list[str], key: str, seed: int, name: str = "position") -> DataFrame:
     """Number the rows of each group from 1 in a seeded, reproducible hash order."""
-    hashed = (df.withColumn("_hash", hash_order(seed, F.col(key)))
-              .withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS)))
-    return _number(hashed, groups, "_bucket", [F.col("_hash"), F.col(key)], name).drop("_hash")
+    hashed = df.withColumns({
+        "_group": F.to_json(F.struct(*groups)) if groups else F.lit(""),  # never null, so it joins
+        "_hash": hash_order(seed, F.col(key))}).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    placed = _number(hashed, ["_group"], "_bucket", [F.col("_hash"), F.col(key)], name)
+    return placed.select(*df.columns, name)
 
 
 def rank_by_frequency(freqs: DataFrame, word: str = "word", frequency: str = "frequency",
-                      groups: list[str] | None = None, name: str = "rank") -> DataFrame:
+                      name: str = "rank") -> DataFrame:
     """Rank words by falling frequency, from 1.
 
     Words of equal frequency follow the first digits of their md5 hash, then the alphabet, so the
     many words seen once spread over all buckets.
     """
-    groups = groups or []
     tied = freqs.withColumn("_bucket", F.substring(F.md5(F.col(word)), 1, BUCKET_DIGITS))
-    spectrum = freqs.groupBy(*groups, frequency).agg(F.count("*").alias("_words"))
-    above = (W.partitionBy(*groups).orderBy(F.col(frequency).desc())
-             .rowsBetween(W.unboundedPreceding, -1))
-    spectrum = spectrum.withColumn("_above", F.coalesce(F.sum("_words").over(above), F.lit(0))).drop("_words")
-    numbered = _number(tied, [*groups, frequency], "_bucket", [F.col(word)], "_inside")
-    match = [numbered[k].eqNullSafe(spectrum[k]) for k in [*groups, frequency]]
-    return (numbered.join(spectrum, match)
-            .select(*[numbered[c] for c in freqs.columns],
-                    (spectrum["_above"] + numbered["_inside"]).cast("bigint").alias(name)))
+    above = W.orderBy(F.col(frequency).desc()).rowsBetween(W.unboundedPreceding, -1)
+    spectrum = freqs.groupBy(frequency).agg(F.count("*").alias("_words")).select(
+        frequency, F.coalesce(F.sum("_words").over(above), F.lit(0)).alias("_above"))
+    numbered = _number(tied, [frequency], "_bucket", [F.col(word)], "_inside")
+    return numbered.join(spectrum, frequency).select(
+        *freqs.columns, (F.col("_above") + F.col("_inside")).cast("bigint").alias(name))
 
 
 def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
