@@ -44,7 +44,7 @@ def _grams(pieces: Column, max_words: int) -> Column:
         span = 2 * n - 1  # words and gaps alternate
         starts = F.when(F.size(pieces) >= span, F.sequence(F.lit(0), F.size(pieces) - span)).otherwise(
             F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, span=span: F.struct(
+        grams.append(F.transform(starts, lambda i: F.struct(
             i.alias("i"), F.lit(span).alias("span"),
             F.lower(F.array_join(F.slice(pieces, i + 1, span), "")).alias("key"))))
     return F.concat(*grams)

@@ -16,7 +16,7 @@ def _usable(label: Column) -> Column:
 def parse_labeled_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """`[a+b] text` lines as (labels, text); other lines are dropped."""
     line = F.col(value)
-    names = F.transform(F.split(F.regexp_extract(line, LABELED_LINE, 1), r"\+"), F.trim)
+    names = F.transform(F.split(F.regexp_extract(line, LABELED_LINE, 1), r"\+"), lambda s: F.trim(s))
     return lines.filter(line.rlike(LABELED_LINE)).withColumns(
         {"labels": names, "text": F.regexp_extract(line, LABELED_LINE, 2)}).drop(value)
 
@@ -120,7 +120,7 @@ def label_distribution(lines: DataFrame, value: str = "value", split_multi: bool
     else:
         prefix = F.regexp_extract(F.col(value), r"^\[([^\]]+)\]", 1)
         found = (lines.select(prefix.alias("p")).filter("p <> ''")
-                 .select(F.explode(F.transform(F.split("p", r"\+"), F.trim)).alias("label")))
+                 .select(F.explode(F.transform(F.split("p", r"\+"), lambda s: F.trim(s))).alias("label")))
     return found.groupBy("label").agg(F.count("*").alias("documents"))
 
 

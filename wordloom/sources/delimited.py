@@ -62,19 +62,39 @@ class Delimited:
     recovered_from_quotes: bool
 
 
-def _well_quoted(value: Column, delimiter: str) -> Column:
-    """Whether every field of a line is plain or properly quoted."""
+def _single(value: Column) -> Column:
+    """Without doubled quote marks, which stand for one inside a quoted field."""
+    return F.replace(value, F.lit('""'), F.lit(""))
+
+
+def _opens_quote(value: Column, delimiter: str) -> Column:
+    """Whether a line has a field that starts with a quote mark and does not end with one."""
     d = "\\" + delimiter if delimiter == "|" else delimiter
-    one = rf'(?:"(?:[^"]|"")*"|[^"{d}][^{d}]*|)'
-    return value.rlike(rf"^{one}(?:{d}{one})*$")
+    rest = F.regexp_replace(_single(value), f'(^|{d})"[^"]*+"(?={d}|$)', "$1")
+    return rest.rlike(f'(^|{d})"')
+
+
+def _misquoted(spark: SparkSession, path: str, quoted: DataFrame, names: list[str]) -> bool:
+    """Whether reading records over several lines went wrong too.
+
+    A stray quote mark leaves an odd number in its file, or a field that begins with the mark, or
+    a record of another width.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    odd = lines.groupBy("file").agg(F.sum(_occurrences(_single(F.col("value")), '"')).alias("n")).filter("n % 2 = 1")
+    if odd.limit(1).count():
+        return True
+    fields = F.array(*[F.col(f"`{n}`") for n in names])
+    raw = F.exists(fields, lambda f: F.coalesce(f.startswith('"') & F.contains(f, F.lit("\n")), F.lit(False)))
+    return quoted.filter(raw | F.col("_broken").isNotNull()).limit(1).count() > 0
 
 
 def read_delimited(spark: SparkSession, path: str) -> Delimited:
     """Read files of one dialect as strings; rows are never lost to stray quotes.
 
-    Well-quoted single-line records are read in splits. If some line breaks the quoting, whole
-    files are tried with records over several lines; if that leaves broken records too, quote
-    marks are read literally.
+    Well-quoted single-line records are read in splits. If some line leaves a quote open, whole
+    files are tried with records over several lines; if that goes wrong too, quote marks are read
+    literally.
     """
     head = head_lines(spark, path)
     dialects = sniff_dialect(head).groupBy("delimiter").count().orderBy(F.desc("count"), "delimiter").limit(1).collect()
@@ -86,30 +106,28 @@ def read_delimited(spark: SparkSession, path: str) -> Delimited:
     had_header = looks_like_header(rows)
 
     lines = spark.read.text(path)
-    broken = lines.filter(~_well_quoted(F.col("value"), delimiter) & ~T.is_blank(F.col("value"))).limit(1).count() > 0
-    base = spark.read.option("sep", delimiter).option("header", str(had_header).lower()).option("mode", "PERMISSIVE")
-    base = base.option("enforceSchema", "true").option("maxCharsPerColumn", "-1").option("escape", '"')
+    base = (spark.read.option("sep", delimiter).option("header", str(had_header).lower()).option("mode", "PERMISSIVE")
+            .option("enforceSchema", "true").option("maxCharsPerColumn", "-1").option("escape", '"'))
     if had_header:
         names = [c.strip() for c in rows[0]]
     else:
-        quoted = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
-        widest = lines.agg(F.max(_occurrences(quoted, delimiter)).alias("n")).first()
+        plain = F.regexp_replace(_single(F.col("value")), '"[^"]*+"', "")
+        widest = lines.agg(F.max(_occurrences(plain, delimiter)).alias("n")).first()
         names = [f"column_{i + 1}" for i in range((widest.n or 0) + 1)]
     schema = ", ".join(f"`{n}` string" for n in names)
     recovered = False
-    if not broken:
-        data = base.option("quote", '"').schema(schema).csv(path)
+    if lines.filter(_opens_quote(F.col("value"), delimiter)).limit(1).count() == 0:
+        data = base.schema(schema).csv(path)
     else:
-        whole = base.option("quote", '"').option("multiLine", "true").option("columnNameOfCorruptRecord", "_broken")
-        checked = whole.schema(schema + ", `_broken` string").csv(path)
-        # A quote left open swallows lines up to the next one and shifts the fields after it.
-        recovered = checked.filter(F.col("_broken").isNotNull()).limit(1).count() > 0
-        data = checked.drop("_broken") if not recovered else base.option("quote", "").schema(schema).csv(path)
+        whole = base.option("multiLine", "true").option("columnNameOfCorruptRecord", "_broken")
+        quoted = whole.schema(schema + ", `_broken` string").csv(path)
+        recovered = _misquoted(spark, path, quoted, names)
+        plain_reader = base.option("multiLine", "false").option("quote", "")
+        data = plain_reader.schema(schema).csv(path) if recovered else quoted.drop("_broken")
     filled_row = F.lit(False)
     for n in names:
         filled_row = filled_row | ~T.is_blank(F.col(f"`{n}`"))
-    data = data.filter(filled_row).na.fill("")
-    return Delimited(data, delimiter, had_header, recovered)
+    return Delimited(data.filter(filled_row).na.fill(""), delimiter, had_header, recovered)
 
 
 def write_clean_csv(df: DataFrame, path: str) -> None:
