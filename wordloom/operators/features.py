@@ -116,11 +116,11 @@ class WordVectors:
     def transform(self, df: DataFrame) -> DataFrame:
         tokens = self._tokens(df).select(self.id, F.explode("_tokens").alias("_token"))
         known = tokens.join(broadcast_if_small(self.vectors, 50_000), "_token")
-        means = known.groupBy(self.id).agg(Summarizer.mean(F.col("vector")).alias("_mean"))
+        means = known.groupBy(self.id).agg(Summarizer.mean(F.col("vector")).alias("_mean")).select(
+            self.id, vector_to_array("_mean").alias("_mean"))
         zero = F.array_repeat(F.lit(0.0), self.size)
         joined = df.join(means, self.id, "left")
-        values = F.coalesce(vector_to_array(F.col("_mean")), zero)
-        return joined.withColumn(self.column, array_to_vector(values)).drop("_mean")
+        return joined.withColumn(self.column, array_to_vector(F.coalesce("_mean", zero))).drop("_mean")
 
     @property
     def vocabulary_size(self) -> int:

@@ -100,8 +100,7 @@ def read_delimited(spark: SparkSession, path: str) -> Delimited:
     dialects = sniff_dialect(head).groupBy("delimiter").count().orderBy(F.desc("count"), "delimiter").limit(1).collect()
     delimiter = dialects[0].delimiter if dialects else ","
     filled = head.filter(~T.is_blank(F.col("value")))
-    first_file = filled.agg(F.min("file").alias("file"))
-    first = filled.filter(F.col("file") == first_file.scalar()).orderBy("line_no").limit(2).collect()
+    first = filled.orderBy("file", "line_no").limit(2).collect()
     rows = list(csv.reader([r.value for r in first], delimiter=delimiter))
     had_header = looks_like_header(rows)
 
