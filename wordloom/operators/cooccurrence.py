@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wordloom.constants import MAX_TOP_N, NETWORK_MAX_LINKS, STOPWORDS
 from wordloom.functions import text as T
+from wordloom.functions.rows import explode_rows
 from wordloom.operators.ranking import top_per_group
 from wordloom.plans.storage import materialize
 
@@ -26,7 +27,7 @@ def cooccurrence_vocab(df: DataFrame, top_n: int = 100, include_stopwords: bool
     """(word, is_stop, doc_freq): top words by document frequency, and as many top stopwords."""
     top_n = max(1, min(MAX_TOP_N, top_n))
     size = max(3 * top_n, 30)
-    words = df.select(F.explode(F.array_distinct(T.tokenize_vocab(F.col(text)))).alias("word"))
+    words = explode_rows(df, F.array_distinct(T.tokenize_vocab(F.col(text))), "word")
     counts = words.groupBy("word").agg(F.count("*").alias("doc_freq")).withColumn("is_stop", _is_stop())
     order = [F.desc("doc_freq"), F.col("word")]
     content = counts.filter(~F.col("is_stop")).orderBy(*order).limit(size)
@@ -59,9 +60,9 @@ def cooccurrence_edges(df: DataFrame, vocabulary: list[str], text: str = "text")
 
     # The words are plain [a-z0-9], so they can be named in SQL text, one literal set for the plan.
     in_set = ", ".join(f"'{w}'" for w in vocabulary)
-    docs = (df.select(F.array_distinct(T.tokenize_vocab(F.col(text))).alias("words"))
-            .select(F.expr(f"filter(words, w -> w IN ({in_set}))").alias("words"))
-            .filter(F.size("words") > 1))
+    docs = (df.select(T.tokenize_vocab(F.col(text)).alias("words"))
+            .select(F.expr(f"array_distinct(filter(words, w -> w IN ({in_set})))").alias("words"))
+)
     names = F.split(F.lit(" ".join(vocabulary)), " ")
     counts = (docs.mapInPandas(pair_counts, "a int, b int, n bigint")
               .groupBy("a", "b").agg(F.sum("n").alias("value")))

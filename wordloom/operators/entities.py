@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.constants import ENTITY_GROUPS, PERSON_NOISE
 from wordloom.functions import text as T
+from wordloom.functions.rows import explode_rows, inline_rows
 from wordloom.plans.storage import broadcast_if_small
 
 CHUNK_CHARS = 5000
@@ -20,7 +21,7 @@ ENTITY_SCHEMA = "text string, entity_type string, start bigint, end bigint, sour
 
 def entity_chunks(df: DataFrame, text: str = "text", id: str = "doc_id", size: int = CHUNK_CHARS) -> DataFrame:
     """(id, start, chunk): the whole text in windows a recognizer can take, with their offsets."""
-    parts = df.select(id, F.explode(T.chunks(F.col(text), size)).alias("part"))
+    parts = explode_rows(df, T.chunks(F.col(text), size), "part", id)
     return parts.select(id, F.col("part.start").cast("bigint").alias("start"), "part.chunk")
 
 
@@ -51,7 +52,7 @@ def _grams(pieces: Column, max_words: int) -> Column:
 
 
 def entities(df: DataFrame, gazetteer: DataFrame, text: str = "text", id: str = "doc_id",
-             max_words: int = 3, inline_limit: int = 1000) -> DataFrame:
+             max_words: int = 3, inline_limit: int = 10_000) -> DataFrame:
     """(id, text, entity_type, start, end, source): gazetteer phrases found in the text.
 
     Words are runs of letters, digits and underscores; a phrase matches its words with the same
@@ -65,10 +66,11 @@ def entities(df: DataFrame, gazetteer: DataFrame, text: str = "text", id: str =
     named = gazetteer.select(F.lower("phrase").alias("key"), "entity_type").distinct()
     keys = [r.key for r in named.select("key").distinct().limit(inline_limit + 1).collect()]
     if len(keys) <= inline_limit:
-        found = docs.withColumn("hits", F.filter(_grams(F.col("p"), max_words), lambda g: g["key"].isin(keys)))
-        found = found.filter(F.size("hits") > 0)
+        in_set = ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in keys) or "''"
+        found = docs.withColumn("grams", _grams(F.col("p"), max_words))
+        found = found.select(id, "p", F.expr(f"filter(grams, g -> g.key IN ({in_set}))").alias("hits"))
     else:
-        grams = docs.select(id, F.inline(_grams(F.col("p"), max_words)))
+        grams = inline_rows(docs, _grams(F.col("p"), max_words), "key", id)
         hits = grams.join(broadcast_if_small(named.select("key").distinct()), "key", "left_semi")
         # A document's own matches: bounded by its length.
         found = docs.join(hits.groupBy(id).agg(F.collect_list(F.struct("i", "span", "key")).alias("hits")), id)
@@ -76,7 +78,7 @@ def entities(df: DataFrame, gazetteer: DataFrame, text: str = "text", id: str =
         F.array_join(F.slice("p", h["i"] + 1, h["span"]), "").alias("text"),
         F.length(F.array_join(F.slice("p", F.lit(1), h["i"]), "")).cast("bigint").alias("start"),
         h["key"].alias("key")))
-    mentions = found.select(id, F.inline(spans)).join(broadcast_if_small(named), "key")
+    mentions = inline_rows(found, spans, "key", id).join(broadcast_if_small(named), "key")
     return mentions.select(id, "text", "entity_type", "start", (F.col("start") + F.length("text")).alias("end"),
                            F.lit("gazetteer").alias("source"))
 

@@ -5,19 +5,39 @@ import math
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wordloom.functions import text as T
+from wordloom.functions.rows import explode_rows, inline_rows
 from wordloom.operators.ranking import rank_by_frequency
 from wordloom.plans.storage import broadcast_if_small, materialize
 
 
+def _terms(max_n: int) -> Column:
+    """All 1- to `max_n`-grams of the `_words` column."""
+    return F.concat(*[T.ngrams(F.col("_words"), n) for n in range(1, max_n + 1)])
+
+
 def term_counts(df: DataFrame, text: str = "text", id: str = "doc_id", max_n: int = 2) -> DataFrame:
-    """(id, term, tf) over the 1- to `max_n`-grams of each document's words."""
-    words = df.select(id, T.word_terms(F.col(text)).alias("words"))
-    terms = F.concat(*[T.ngrams(F.col("words"), n) for n in range(1, max_n + 1)])
-    return (words.select(id, F.explode(terms).alias("term"))
-            .groupBy(id, "term").agg(F.count("*").alias("tf")))
+    """(id, term, tf) over the 1- to `max_n`-grams of each document's words.
+
+    No shuffle if the documents are already partitioned by `id`.
+    """
+    words = df.select(id, T.word_terms(F.col(text)).alias("_words"))
+    return explode_rows(words, _terms(max_n), "term", id).groupBy(id, "term").agg(F.count("*").alias("tf"))
+
+
+def term_stats(df: DataFrame, text: str = "text", max_n: int = 2) -> DataFrame:
+    """(term, doc_freq, total) from one shuffle of per-task sums.
+
+    Each document gives its terms once for `total` and its distinct terms once for `doc_freq`, so no
+    (document, term) pair is shuffled.
+    """
+    words = df.select(T.word_terms(F.col(text)).alias("_words")).select(_terms(max_n).alias("t"))
+    both = F.array(F.struct(F.lit(1).alias("d"), F.lit(0).alias("n"), F.array_distinct("t").alias("t")),
+                   F.struct(F.lit(0).alias("d"), F.lit(1).alias("n"), F.col("t").alias("t")))
+    terms = explode_rows(inline_rows(words, both, "d"), F.col("t"), "term", "d", "n")
+    return terms.groupBy("term").agg(F.sum("d").alias("doc_freq"), F.sum("n").alias("total"))
 
 
 def fit_vocabulary(df: DataFrame, text: str = "text", id: str = "doc_id", max_n: int = 2, min_df: int = 2,
@@ -28,8 +48,7 @@ def fit_vocabulary(df: DataFrame, text: str = "text", id: str = "doc_id", max_n:
     ten. The most frequent terms stay.
     """
     n_docs = df.agg(F.count("*").alias("n"))
-    stats = materialize(term_counts(df, text, id, max_n).groupBy("term").agg(
-        F.count("*").alias("doc_freq"), F.sum("tf").alias("total")))
+    stats = materialize(term_stats(df, text, max_n))
     if max_features is None and percent is not None:
         single = stats.filter(~F.contains("term", F.lit(" "))).count()
         max_features = max(10, int(single * (min(100.0, max(1.0, percent)) / 100.0)))
@@ -70,8 +89,7 @@ class TextVectors:
 
     def _terms(self, df: DataFrame) -> DataFrame:
         with_words = df.withColumn("_words", T.word_terms(F.col(self.text)))
-        grams = [T.ngrams(F.col("_words"), n) for n in range(1, self.max_n + 1)]
-        return with_words.withColumn("_terms", F.concat(*grams)).drop("_words")
+        return with_words.withColumn("_terms", _terms(self.max_n)).drop("_words")
 
     def fit(self, train: DataFrame) -> "TextVectors":
         terms = self._terms(train)
@@ -114,7 +132,7 @@ class WordVectors:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        tokens = self._tokens(df).select(self.id, F.explode("_tokens").alias("_token"))
+        tokens = explode_rows(self._tokens(df), F.col("_tokens"), "_token", self.id)
         known = tokens.join(broadcast_if_small(self.vectors, 50_000), "_token")
         means = known.groupBy(self.id).agg(Summarizer.mean(F.col("vector")).alias("_mean")).select(
             self.id, vector_to_array("_mean").alias("_mean"))

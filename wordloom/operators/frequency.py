@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wordloom.constants import LENGTH_BUCKETS
 from wordloom.functions import text as T
+from wordloom.functions.rows import explode_rows
 from wordloom.operators.ranking import explode_range, rank_by_frequency, top_per_group
 
 
@@ -16,10 +17,10 @@ def _words(df: DataFrame, text: str, include_stopwords: bool, max_chars: int | N
            max_tokens: int | None, *keep: str) -> DataFrame:
     body = F.col(text) if max_chars is None else T.truncate(F.col(text), max_chars)
     if max_tokens is not None:
-        return df.select(*keep, F.explode(T.tokenize(body, include_stopwords, max_tokens)).alias("word"))
+        return explode_rows(df, T.tokenize(body, include_stopwords, max_tokens), "word", *keep)
     # Without a token cap the words are exploded first, so the filter joins the generated code.
     runs = F.regexp_extract_all(body, F.lit("[A-Za-z0-9]{3,}"), F.lit(0))
-    words = df.select(*keep, F.explode(runs).alias("word")).withColumn("word", F.lower("word"))
+    words = explode_rows(df, runs, "word", *keep).withColumn("word", F.lower("word"))
     return words if include_stopwords else words.filter(~F.col("word").isin(sorted(T.STOPWORDS)))
 
 
@@ -49,7 +50,7 @@ def word_frequency_by_class(df: DataFrame, label: str = "label", text: str = "te
 
 def wordcloud_frequency(df: DataFrame, text: str = "text", include_stopwords: bool = False) -> DataFrame:
     runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
-    words = df.select(F.explode(runs).alias("word"))
+    words = explode_rows(df, runs, "word")
     if not include_stopwords:
         words = words.filter(~F.col("word").isin(sorted(T.STOPWORDS)))
     return words.groupBy("word").agg(F.count("*").alias("frequency"))
@@ -145,7 +146,7 @@ def coverage_cumulative(freqs: DataFrame) -> DataFrame:
 
 def corpus_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """Tokens, distinct lower-cased tokens and type-token ratio, with its band."""
-    words = (df.select(F.explode(T.space_tokens(F.col(text))).alias("w"))
+    words = (explode_rows(df, T.space_tokens(F.col(text)), "w")
              .groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_words"), F.count("*").alias("unique_words"))
     ratio = F.when(F.col("total_words") > 0, F.col("unique_words") / F.col("total_words")).otherwise(F.lit(0.0))

@@ -4,17 +4,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from wordloom.constants import MAX_TOP_N
 from wordloom.functions import text as T
+from wordloom.functions.rows import explode_rows
 from wordloom.operators.corpus import filter_class
 
 
 def _tokens(df: DataFrame, text: str, include_stopwords: bool, class_name: str, label: str | None) -> DataFrame:
     chosen = df if label is None else filter_class(df, class_name, label=label)
-    tokens = chosen.select(T.tokenize(F.col(text), include_stopwords).alias("tokens"))
-    return tokens.filter(F.size("tokens") > 0)
+    return chosen.select(T.tokenize(F.col(text), include_stopwords).alias("tokens"))
 
 
 def _counts(tokens: DataFrame, n: int) -> DataFrame:
-    grams = tokens.select(F.explode(T.ngrams(F.col("tokens"), n)).alias("ngram"))
+    grams = explode_rows(tokens, T.ngrams(F.col("tokens"), n), "ngram")
     return grams.groupBy("ngram").agg(F.count("*").alias("frequency"))
 
 
@@ -39,7 +39,7 @@ def ngram_summary(df: DataFrame, n: int = 2, text: str = "text", include_stopwor
     """Total and distinct n-grams, and documents with at least one token."""
     n = _order(n)
     tokens = _tokens(df, text, include_stopwords, class_name, label)
-    documents = tokens.agg(F.count("*").alias("n_documents"))
+    documents = tokens.agg(F.count_if(F.size("tokens") > 0).alias("n_documents"))
     grams = _counts(tokens, n).agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("total_ngrams"),
                                    F.count("*").alias("unique_ngrams"))
     return grams.select(F.lit(n).cast("bigint").alias("n"), "total_ngrams", "unique_ngrams",

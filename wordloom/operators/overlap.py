@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from wordloom.functions import text as T
+from wordloom.functions.rows import explode_rows
 from wordloom.operators.ranking import top_per_group
 
 
@@ -13,8 +14,8 @@ def class_overlap(df: DataFrame, target: str, label: str = "label", text: str =
     A side counts only when the term reaches `min_frequency` on that side.
     """
     labelled = df.filter(F.col(label).isNotNull() & (F.col(label).cast("string") != "-1"))
-    words = labelled.select((F.col(label).cast("string") == target).alias("mine"),
-                            F.explode(T.space_tokens(F.lower(text))).alias("term"))
+    mine = (F.col(label).cast("string") == target).alias("mine")
+    words = explode_rows(labelled, T.space_tokens(F.lower(text)), "term", mine)
     counts = words.groupBy("term").agg(
         F.count_if("mine").alias("target"), F.count_if(~F.col("mine")).alias("other"))
     mine, theirs = F.col("target") >= min_frequency, F.col("other") >= min_frequency

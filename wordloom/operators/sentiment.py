@@ -5,6 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.functions import text as T
+from wordloom.functions.rows import explode_rows, posexplode_rows
 from wordloom.plans.storage import broadcast_if_small
 
 _NUMBERED = r"^\[(\d+)\]\s*(.*)"
@@ -13,8 +14,7 @@ _PHRASE_LIMIT = 500
 
 def split_sentences(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, sentence_id, sentence), numbered from 1 inside each document."""
-    pieces = df.select(id, F.posexplode(T.sentences(F.col(text))).alias("sentence_id", "sentence"))
-    return pieces.withColumn("sentence_id", (F.col("sentence_id") + 1).cast("bigint"))
+    return posexplode_rows(df, T.sentences(F.col(text)), "sentence_id", "sentence", id)
 
 
 def labeled_sentences(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -28,9 +28,7 @@ def labeled_sentences(df: DataFrame, text: str = "text", id: str = "doc_id") ->
     parts = F.when(numbered, lines).otherwise(whole)
     found = F.flatten(F.transform(parts, lambda p: F.transform(T.sentences(p["body"]), lambda s: F.struct(
         p["label"].alias("label"), s.alias("sentence")))))
-    rows = df.select(id, F.posexplode(found).alias("sentence_id", "s"))
-    return rows.select(id, (F.col("sentence_id") + 1).cast("bigint").alias("sentence_id"),
-                       "s.label", "s.sentence")
+    return posexplode_rows(df, found, "sentence_id", "s", id).select(id, "sentence_id", "s.label", "s.sentence")
 
 
 def _phrases(lexicon: DataFrame) -> list[tuple[str, int, int]]:
@@ -76,7 +74,7 @@ def sentiment_distribution(sentiments: DataFrame, *by: str) -> DataFrame:
 
 def corpus_valence(df: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """Mean valence over the words the lexicon knows; within 0.05 of zero is neutral."""
-    words = df.select(F.explode(T.space_tokens(F.col(text))).alias("w")).select(
+    words = explode_rows(df, T.space_tokens(F.col(text)), "w").select(
         F.regexp_replace(F.lower("w"), "[^a-z']", "").alias("word")).filter("word <> ''")
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     scored = counts.join(broadcast_if_small(lexicon.select("word", "valence")), "word")

@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordloom.functions import text as T
+from wordloom.functions.rows import posexplode_rows
 from wordloom.sources.delimited import head_lines
 
 
@@ -23,8 +24,7 @@ def write_text_lines(df: DataFrame, path: str, value: str = "value") -> None:
 
 def split_paragraphs(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, position, paragraph): blank lines and sentence ends separate, counted from 1."""
-    rows = df.select(id, F.posexplode(T.paragraphs(F.col(text))).alias("position", "paragraph"))
-    return rows.withColumn("position", (F.col("position") + 1).cast("bigint"))
+    return posexplode_rows(df, T.paragraphs(F.col(text)), "position", "paragraph", id)
 
 
 @dataclass
