@@ -16,6 +16,7 @@ from wordloom.functions.rows import explode_rows, inline_rows
 from wordloom.plans.storage import broadcast_if_small
 
 CHUNK_CHARS = 5000
+_BLOCK = 64
 ENTITY_SCHEMA = "text string, entity_type string, start bigint, end bigint, source string"
 
 
@@ -74,10 +75,19 @@ def entities(df: DataFrame, gazetteer: DataFrame, text: str = "text", id: str =
         hits = grams.join(broadcast_if_small(named.select("key").distinct()), "key", "left_semi")
         # A document's own matches: bounded by its length.
         found = docs.join(hits.groupBy(id).agg(F.collect_list(F.struct("i", "span", "key")).alias("hits")), id)
+    # Lengths of whole blocks of pieces, so that an offset adds up blocks and less than one block.
+    found = found.withColumn("blocks", F.transform(
+        F.sequence(F.lit(0), F.floor(F.size("p") / _BLOCK).cast("int")),
+        lambda b: F.length(F.array_join(F.slice("p", b * _BLOCK + 1, F.lit(_BLOCK)), ""))))
+
+    def start(i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        whole = F.aggregate(F.slice("blocks", F.lit(1), block), F.lit(0), lambda a, n: a + n)
+        return whole + F.length(F.array_join(F.slice("p", block * _BLOCK + 1, i % _BLOCK), ""))
+
     spans = F.transform("hits", lambda h: F.struct(
         F.array_join(F.slice("p", h["i"] + 1, h["span"]), "").alias("text"),
-        F.length(F.array_join(F.slice("p", F.lit(1), h["i"]), "")).cast("bigint").alias("start"),
-        h["key"].alias("key")))
+        start(h["i"]).cast("bigint").alias("start"), h["key"].alias("key")))
     mentions = inline_rows(found, spans, "key", id).join(broadcast_if_small(named), "key")
     return mentions.select(id, "text", "entity_type", "start", (F.col("start") + F.length("text")).alias("end"),
                            F.lit("gazetteer").alias("source"))
