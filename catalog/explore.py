@@ -8,7 +8,6 @@ from wordloom.functions import text as T
 from wordloom.operators import cooccurrence as co, corpus, frequency as fq, ngrams as ng, overlap as ov
 from wordloom.operators.normalize import normalize_corpus, stem_dictionary
 from wordloom.operators.sentiment import split_sentences
-from wordloom.plans.storage import materialize
 
 
 def _freqs(spark, sf, stop=False):

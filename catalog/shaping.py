@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
-from catalog.common import LINES, SPACE, documents, labeled_lines, labelled, space_tokens_sql, strip_sql, table
+from catalog.common import LINES, SPACE, documents, labeled_lines, labelled, strip_sql, table
 from wordloom.operators import labels as lb, schema as sc
 from wordloom.plans.storage import scratch_path
 from wordloom.sources import binary, delimited, lines as ln

@@ -51,6 +51,14 @@ def test_knn_with_fewer_points_than_k(spark, points):
     assert knn_join(two, points.limit(0), 5).count() == 0
 
 
+def test_knn_predict_votes(spark):
+    train = spark.createDataFrame([(1, "a", [0.0]), (2, "a", [1.0]), (3, "b", [1.5]), (4, "b", [9.0])],
+                                  "doc_id bigint, label string, features array<double>")
+    test = spark.createDataFrame([(10, "?", [0.9]), (11, "?", [8.0])], train.schema)
+    got = {r.doc_id: (r.prediction, r.score) for r in knn_predict(train, test, 2).collect()}
+    assert got == {10: ("a", 0.5), 11: ("b", 1.0)}
+
+
 def test_knn_on_sparse_vectors(spark, corpus):
     vectors = ft.TextVectors(min_df=1).fit(corpus).transform(corpus).select("doc_id", "label", "features")
     dense = vectors.withColumn("features", vector_to_array("features"))

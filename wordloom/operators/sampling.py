@@ -6,7 +6,7 @@ Order inside a class is `md5(seed:id)`, so every engine draws the same rows. Pos
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wordloom.operators.ranking import explode_range, hash_order, shuffled_position
+from wordloom.operators.ranking import explode_range, shuffled_position
 from wordloom.plans.storage import broadcast_if_small
 
 

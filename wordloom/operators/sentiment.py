@@ -57,9 +57,7 @@ def sentence_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "text", id
     rows = labeled_sentences(df, text, id)
     words = rows.withColumn("word", F.explode_outer(F.split(F.lower("sentence"), T.NON_WORD)))
     scored = (words.join(broadcast_if_small(lexicon.select("word", "valence")), "word", "left")
-              .groupBy(id, "sentence_id").agg(
-                  F.first("label").alias("label"), F.first("sentence").alias("sentence"),
-                  F.coalesce(F.sum("valence"), F.lit(0)).alias("score")))
+              .groupBy(id, "sentence_id", "label", "sentence").agg(F.coalesce(F.sum("valence"), F.lit(0)).alias("score")))
     phrases = _phrases(lexicon)
     if phrases:
         scored = scored.withColumn("score", F.col("score") + _phrase_score(F.col("sentence"), phrases))
