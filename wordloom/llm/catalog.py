@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordloom.llm import bpe, simhash
+from wordloom.llm import bpe, simhash, substrings
 
 TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -26,5 +26,10 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe}
+def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
