@@ -4,7 +4,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordloom.llm import bpe, simhash, substrings
+from wordloom.llm import bpe, mixing, simhash, substrings, warc
+from wordloom.plans.storage import written
 
 TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -26,10 +27,30 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.words_taken(*mixing.mix(table(spark, sf, "documents")))
+
+
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    archives, _ = written(warc.archive(table(spark, sf, "pages")), "warc")
+    return warc.read_archive(archives).drop("url", "payload")
+
+
+OP8 = """
+WITH sized AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+largest AS (SELECT payload_digest, payload_bytes, max(page_id) AS response FROM sized WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN response IS NULL OR response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response = page_id THEN NULL ELSE response END AS refers_to
+FROM sized LEFT JOIN largest USING (payload_digest, payload_bytes)"""
+
+
 def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op10_substrings": op10_substrings}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc,
+           "op10_substrings": op10_substrings}
+ORACLES = {"op8_warc": OP8}
