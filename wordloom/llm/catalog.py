@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordloom.llm import bpe, mixing, simhash, substrings, warc
+from wordloom.llm import bpe, embeddings, mixing, simhash, substrings, warc
 from wordloom.plans.storage import written
 
 TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -15,6 +15,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
+OP1 = """
+WITH RECURSIVE valid AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept
+FROM embeddings JOIN reach ON reach.a = vec_id GROUP BY vec_id"""
+
+
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf, "documents"))
 
@@ -51,6 +67,6 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc,
+QUERIES = {"op1_embeddings": op1_embeddings, "op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc,
            "op10_substrings": op10_substrings}
-ORACLES = {"op8_warc": OP8}
+ORACLES = {"op1_embeddings": OP1, "op8_warc": OP8}
