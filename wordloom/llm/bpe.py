@@ -2,6 +2,7 @@
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,8 @@ from tokenizers.models import BPE
 
 from wordloom.llm.words import slices
 
-KNOWN_FRAGMENTS = 1 << 17
-_KNOWN_LENGTH = 64
+KNOWN_FRAGMENTS = 1 << 18  # of each half of a task's memo; when one is full, the older half is dropped
+_KNOWN_LENGTH = 64  # longer fragments are not remembered
 
 
 class FragmentCoder:
@@ -49,56 +50,87 @@ class FragmentCoder:
         self.tokens = {v: k for k, v in model["vocab"].items()} | {v: k for k, v in self.special.items()}
         self.joins_by_space = config.get("decoder") is None
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def fragments(self, piece: str) -> list[str]:
         """The piece, cut between every two characters that no token holds side by side."""
-        pairs, out, start = self.pairs, [], 0
-        for i in range(1, len(piece)):
-            if piece[i - 1:i + 1] not in pairs:
-                out.append(piece[start:i])
-                start = i
-        return [*out, piece[start:]]
+        pairs = list(map("".join, zip(piece, piece[1:])))
+        if self.pairs.issuperset(pairs):
+            return [piece]
+        cuts = [0, *(i for i, pair in enumerate(pairs, 1) if pair not in self.pairs), len(piece)]
+        return [piece[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one piece that the tokenizer's own pattern cuts out."""
+        found = self.pieces.get(piece)
+        if found is None:
+            *inner, last = self.fragments(piece)
+            ids = [t.id for f in inner for t in self.inner.tokenize(f)] + [t.id for t in self.last.tokenize(last)]
+            found = array("i", ids).tobytes()
+            if len(piece) <= _KNOWN_LENGTH:
+                if len(self.pieces) >= KNOWN_FRAGMENTS:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
+
+    def _pieces(self, text: str) -> list[tuple[str, tuple[int, int]]]:
+        cut = self.tokenizer.pre_tokenizer
+        return cut.pre_tokenize_str(text) if cut else [(text, (0, len(text)))]
+
+    def _normal(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
 
     def _encode(self, raw: str) -> bytes:
-        ids: list[int] = []
+        out = []
         for part in self.special_pattern.split(raw) if self.special_pattern else [raw]:
             if part in self.special:
-                ids.append(self.special[part])
+                out.append(array("i", [self.special[part]]).tobytes())
             elif part:
-                if self.tokenizer.normalizer:
-                    part = self.tokenizer.normalizer.normalize_str(part)
-                cut = self.tokenizer.pre_tokenizer
-                for piece, _ in cut.pre_tokenize_str(part) if cut else [(part, None)]:
-                    *inner, last = self.fragments(piece)
-                    ids += [t.id for f in inner for t in self.inner.tokenize(f)]
-                    ids += [t.id for t in self.last.tokenize(last)] if last else []
-        return np.array(ids, "<i4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
+                out += [self._piece(piece) for piece, _ in self._pieces(self._normal(part)) if piece]
+        return b"".join(out)
+
+    def _learn(self, fragments: set[bytes]) -> None:
+        """Remember the ids of fragments without white space, many in one call of the library."""
+        plain = []
+        for raw in fragments:
+            part = raw.decode()
+            if len(part.split()) == 1 and not (self.special_pattern and self.special_pattern.search(part)):
+                plain.append((raw, part))
+            else:  # white space beyond ASCII, or special tokens
+                self.known[raw] = self._encode(part)
+        if not plain:
+            return
+        normal = self._normal("\n".join([part for _, part in plain]))
+        parts = normal.split(" ")
+        if len(parts) != len(plain):
+            raise ValueError("the normalizer must map white space to one space")
+        found: list[list[bytes]] = [[] for _ in parts]
+        end, at = len(parts[0]), 0
+        for piece, (start, _) in self._pieces(normal):
+            while start > end:
+                at += 1
+                end += 1 + len(parts[at])
+            found[at].append(self._piece(piece))
+        self.known.update(zip([raw for raw, _ in plain], map(b"".join, found)))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
         if not self.drops_space:
-            return self._encode(text)
-        known, parts = self.known, text.encode().split()
-        for part in set(parts).difference(known):
-            if len(known) >= KNOWN_FRAGMENTS:
-                known.clear()
-                return b"".join([self._remember(p) for p in parts])
-            known[part] = self._encode(part.decode())
-        out = b"".join([known[p] for p in parts])
-        for part in [p for p in set(parts) if len(p) > _KNOWN_LENGTH]:
-            known.pop(part, None)
+            return [self._encode(t) if t else b"" for t in texts]
+        parts = [t.encode().split() if t else [] for t in texts]
+        every = set().union(*parts)
+        if len(self.known) >= KNOWN_FRAGMENTS:
+            self.known, self.older = {}, self.known
+        again = every.difference(self.known).intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self._learn(every.difference(self.known))
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        for part in every:
+            if len(part) > _KNOWN_LENGTH:
+                del self.known[part]
         return out
 
-    def _remember(self, part: bytes) -> bytes:
-        if part not in self.known:
-            value = self._encode(part.decode())
-            if len(self.known) >= KNOWN_FRAGMENTS or len(part) > _KNOWN_LENGTH:
-                return value
-            self.known[part] = value
-        return self.known[part]
-
     def decode(self, ids: list[int]) -> str:
         if self.joins_by_space:
             return " ".join([self.tokens[i] for i in ids if i in self.tokens])
@@ -122,7 +154,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = FragmentCoder(path)
         for batch in slices(batches, 256):
-            parts = [coder.encode(t) for t in batch.column(1).to_pylist()]
+            parts = coder.encode_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), _list_of_ids(parts)], [id, "ids"])
 
     schema = T.StructType([T.StructField(id, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
