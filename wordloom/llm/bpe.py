@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, types as T
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
@@ -17,6 +18,44 @@ KNOWN_FRAGMENTS = 1 << 18  # of each half of a task's memo; when one is full, th
 _KNOWN_LENGTH = 64  # longer fragments are not remembered
 
 
+_LATIN = re.compile("[\x21-\u024f]+")  # letters and digits on which all regular expressions agree
+_OTHER_SPACE = re.compile(r"[^\S\x20\x09-\x0D]")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The public byte-level alphabet: visible bytes stand for themselves, the others follow at 256."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(visible)))}
+
+
+_LETTERS = _byte_letters()
+
+
+def _pattern(cut: dict | None):
+    """The pattern of a tokenizer that keeps its matches, drops the rest and then works on bytes."""
+    steps = (cut or {}).get("pretokenizers", [])
+    if len(steps) != 2 or steps[0].get("type") != "Split" or steps[1].get("type") != "ByteLevel":
+        return None
+    kept = steps[0]["behavior"] == "Removed" and steps[0]["invert"] and "Regex" in steps[0]["pattern"]
+    return regex.compile(steps[0]["pattern"]["Regex"]) if kept and not (
+        steps[1]["use_regex"] or steps[1]["add_prefix_space"]) else None
+
+
+class _Pieces(dict):
+    """Ids of the pieces a pattern cuts out, remembered while a task runs."""
+
+    def __init__(self, coder: "FragmentCoder"):
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.coder._piece(piece.encode().decode("latin-1").translate(_LETTERS))
+        if len(piece) <= _KNOWN_LENGTH:
+            if len(self) >= KNOWN_FRAGMENTS:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class FragmentCoder:
     """Encodes like the tokenizers library, one independent fragment at a time.
 
@@ -51,7 +90,8 @@ class FragmentCoder:
         self.joins_by_space = config.get("decoder") is None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self)
+        self.pattern = _pattern(config.get("pre_tokenizer"))
 
     def fragments(self, piece: str) -> list[str]:
         """The piece, cut between every two characters that no token holds side by side."""
@@ -62,21 +102,17 @@ class FragmentCoder:
         return [piece[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def _piece(self, piece: str) -> bytes:
-        """The ids of one piece that the tokenizer's own pattern cuts out."""
-        found = self.pieces.get(piece)
-        if found is None:
-            *inner, last = self.fragments(piece)
-            ids = [t.id for f in inner for t in self.inner.tokenize(f)] + [t.id for t in self.last.tokenize(last)]
-            found = array("i", ids).tobytes()
-            if len(piece) <= _KNOWN_LENGTH:
-                if len(self.pieces) >= KNOWN_FRAGMENTS:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
-
-    def _pieces(self, text: str) -> list[tuple[str, tuple[int, int]]]:
+        """The ids of one byte-level piece that the tokenizer's own pattern cuts out."""
+        *inner, last = self.fragments(piece)
+        ids = [t.id for t in self.last.tokenize(last)]
+        if inner:
+            ids = [t.id for f in inner for t in self.inner.tokenize(f)] + ids
+        return array("i", ids).tobytes()
+
+    def _cut(self, normal: str) -> list[str]:
+        """The byte-level pieces of a normalized text, by the library."""
         cut = self.tokenizer.pre_tokenizer
-        return cut.pre_tokenize_str(text) if cut else [(text, (0, len(text)))]
+        return [piece for piece, _ in cut.pre_tokenize_str(normal)] if cut else [normal]
 
     def _normal(self, text: str) -> str:
         return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
@@ -87,32 +123,27 @@ class FragmentCoder:
             if part in self.special:
                 out.append(array("i", [self.special[part]]).tobytes())
             elif part:
-                out += [self._piece(piece) for piece, _ in self._pieces(self._normal(part)) if piece]
+                out += [self._piece(piece) for piece in self._cut(self._normal(part)) if piece]
         return b"".join(out)
 
-    def _learn(self, fragments: set[bytes]) -> None:
-        """Remember the ids of fragments without white space, many in one call of the library."""
-        plain = []
-        for raw in fragments:
-            part = raw.decode()
-            if len(part.split()) == 1 and not (self.special_pattern and self.special_pattern.search(part)):
-                plain.append((raw, part))
-            else:  # white space beyond ASCII, or special tokens
-                self.known[raw] = self._encode(part)
-        if not plain:
-            return
-        normal = self._normal("\n".join([part for _, part in plain]))
-        parts = normal.split(" ")
-        if len(parts) != len(plain):
-            raise ValueError("the normalizer must map white space to one space")
-        found: list[list[bytes]] = [[] for _ in parts]
-        end, at = len(parts[0]), 0
-        for piece, (start, _) in self._pieces(normal):
-            while start > end:
-                at += 1
-                end += 1 + len(parts[at])
-            found[at].append(self._piece(piece))
-        self.known.update(zip([raw for raw, _ in plain], map(b"".join, found)))
+    def _learn(self, fragments: list[bytes]) -> None:
+        """Remember the ids of fragments without ASCII white space; many are normalized in one call."""
+        texts = b"\n".join(fragments).decode()
+        odd = _OTHER_SPACE.search(texts) or (self.special_pattern and self.special_pattern.search(texts))
+        parts = [] if odd else self._normal(texts).split(" ")
+        if len(parts) == len(fragments) and self.pattern:
+            known, cut = self.pieces, self.pattern.findall
+            for raw, part in zip(fragments, parts):
+                if part.isascii() or _LATIN.fullmatch(part):
+                    self.known[raw] = b"".join([known[piece] for piece in cut(part)])
+                else:
+                    self.known[raw] = b"".join(map(self._piece, self._cut(part)))
+        elif len(fragments) > 1:  # white space beyond ASCII or special tokens: halve until they stand alone
+            half = len(fragments) // 2
+            self._learn(fragments[:half])
+            self._learn(fragments[half:])
+        elif fragments:
+            self.known[fragments[0]] = self._encode(texts)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
@@ -124,7 +155,7 @@ class FragmentCoder:
             self.known, self.older = {}, self.known
         again = every.difference(self.known).intersection(self.older)
         self.known.update(zip(again, map(self.older.__getitem__, again)))
-        self._learn(every.difference(self.known))
+        self._learn(list(every.difference(self.known)))
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         for part in every:
             if len(part) > _KNOWN_LENGTH:
