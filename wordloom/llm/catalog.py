@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordloom.llm import bpe, embeddings, mixing, simhash, substrings, warc
+from wordloom.llm import bpe, chat, embeddings, mixing, rules, simhash, substrings, warc
 from wordloom.plans.storage import written
 
 TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -31,10 +31,42 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(b)
 FROM embeddings JOIN reach ON reach.a = vec_id GROUP BY vec_id"""
 
 
+SAID = "</s>[INST] ok [/INST]"
+
+
+def op2_chat(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(SAID))
+    read = chat.read_chats(chat.format_chats(rows.union(extra)))
+    told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(told, ""), 256).alias("turns_sha256"),
+        F.char_length("trained_text").cast("bigint").alias("loss_chars"), F.sha2("trained_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+OP2 = f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{SAID}'), (-7, 1, 'assistant', '{SAID}')),
+near AS (SELECT *, coalesce(lag(role) OVER w = role, false) AS more FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+sizes AS (SELECT *, length(text) + len(regexp_extract_all(text, '[\\\\<|\\[]')) AS escaped,
+  length(role) + len(regexp_extract_all(role, '[\\\\<|\\[]')) AS named FROM near)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  (3 + sum(escaped + CASE WHEN more THEN 8 ELSE 13 + named END))::BIGINT AS formatted_chars
+FROM sizes GROUP BY conv_id"""
+
+
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf, "documents"))
 
 
+def op4_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.judge(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf, "documents"), WORD_BPE)
     return bpe.decode(encoded, WORD_BPE).select(
@@ -67,6 +99,6 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc,
+QUERIES = {"op1_embeddings": op1_embeddings, "op2_chat": op2_chat, "op3_simhash": op3_simhash, "op4_rules": op4_rules, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc,
            "op10_substrings": op10_substrings}
-ORACLES = {"op1_embeddings": OP1, "op8_warc": OP8}
+ORACLES = {"op1_embeddings": OP1, "op2_chat": OP2, "op4_rules": rules.oracle(), "op8_warc": OP8}
