@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordloom.llm import bpe, chat, embeddings, mixing, rules, simhash, substrings, warc
+from wordloom.llm import bpe, chat, embeddings, mixing, pii, rules, simhash, substrings, warc
 from wordloom.plans.storage import written
 
 TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -94,11 +94,16 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM sized LEFT JOIN largest USING (payload_digest, payload_bytes)"""
 
 
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.find_private(table(spark, sf, "documents")))
+
+
 def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {"op1_embeddings": op1_embeddings, "op2_chat": op2_chat, "op3_simhash": op3_simhash, "op4_rules": op4_rules, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc,
+           "op9_pii": op9_pii,
            "op10_substrings": op10_substrings}
 ORACLES = {"op1_embeddings": OP1, "op2_chat": OP2, "op4_rules": rules.oracle(), "op8_warc": OP8}
