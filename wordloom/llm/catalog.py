@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordloom.llm import bpe, chat, embeddings, mixing, pii, rules, simhash, substrings, warc
+from wordloom.llm import bpe, chat, classifier, embeddings, mixing, pii, rules, simhash, substrings, warc
 from wordloom.plans.storage import written
 
 TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -67,6 +67,11 @@ def op4_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    judged = classifier.classify(table(spark, sf, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", F.round("p_good", 6).alias("p_good"), "kept")
+
+
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf, "documents"), WORD_BPE)
     return bpe.decode(encoded, WORD_BPE).select(
@@ -103,7 +108,13 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op2_chat": op2_chat, "op3_simhash": op3_simhash, "op4_rules": op4_rules, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc,
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline  # it builds on this subpackage
+
+    return corpus_pipeline.run(spark, sf)
+
+
+QUERIES = {"op1_embeddings": op1_embeddings, "op2_chat": op2_chat, "op3_simhash": op3_simhash, "op4_rules": op4_rules, "op5_classifier": op5_classifier, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc,
            "op9_pii": op9_pii,
-           "op10_substrings": op10_substrings}
+           "op10_substrings": op10_substrings, "pipeline": pipeline}
 ORACLES = {"op1_embeddings": OP1, "op2_chat": OP2, "op4_rules": rules.oracle(), "op8_warc": OP8}
