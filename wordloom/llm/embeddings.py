@@ -96,7 +96,7 @@ def _graph(vectors: np.ndarray, layers: list[np.ndarray]) -> Graph:
 
 
 def _search(shards: DataFrame, threshold: float, beam: int) -> DataFrame:
-    """(node, found, root): links of each vector that one pair of shards has, and the least node they reach."""
+    """(node, found, root): links of each vector that one pair of shards has, and one node for all that they connect."""
     partners = F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)
     paired = shards.select("label", "shard", "data", F.explode(partners).alias("other")).select(
         "label", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "shard", "data")
@@ -119,7 +119,6 @@ def _search(shards: DataFrame, threshold: float, beam: int) -> DataFrame:
             nodes, copies = np.concatenate([parts[0][0], nodes]), np.concatenate([parts[0][1], copies])
         found = np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes))
         root = nodes[least_reachable(len(nodes), a, b)]
-        root = np.minimum(root, nodes)
         return pd.DataFrame({"node": nodes, "found": found.astype(np.int64), "root": root})
 
     return paired.groupBy("label", "low", "high").applyInPandas(run, "node bigint, found bigint, root bigint")
