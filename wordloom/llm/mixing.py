@@ -176,18 +176,21 @@ def mixed_texts(docs: DataFrame, spans: DataFrame, id: str = "doc_id", text: str
     The words of each pass over a document stand in their order, passes are separated by a line feed,
     and a pass that takes a whole text keeps it as it is.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
-    of_docs = spans.groupBy(id, "_row").agg(F.sort_array(F.collect_set(F.struct("epoch", "start", "words"))).alias("_spans"))
-    with_spans = docs.withColumn("_row", F.xxhash64(text)).join(of_docs, [id, "_row"]).select(*docs.columns, "_spans")
+    schema = T.StructType([T.StructField("_doc", docs.schema), T.StructField(name, T.StringType())])
+    of_docs = spans.groupBy(F.col(id).alias("_of"), "_row").agg(
+        F.sort_array(F.collect_set(F.struct("epoch", "start", "words"))).alias("_spans"))
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id).alias("_id"), F.xxhash64(text).alias("_hash"))
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_row"))
+    with_spans = whole.join(of_docs, same).select("_doc", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             out = []
-            for t, spans in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist()):
+            for t, spans in zip(batch.column(0).field(text).to_pylist(), batch.column(1).to_pylist()):
                 words, passes = split_words(t), {}
                 for s in spans:
                     passes.setdefault(s["epoch"], []).extend(words[s["start"]:s["start"] + s["words"]])
                 out.append("\n".join(t if len(p) == len(words) else b" ".join(p).decode() for p in passes.values()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], schema.names)
 
-    return with_spans.mapInArrow(run, schema)
+    return with_spans.mapInArrow(run, schema).select("_doc.*", name)

@@ -213,6 +213,6 @@ def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text", **settings
     found = find_private(docs, id, text, **settings).filter("size(spans) > 0").select(
         F.col(id).alias("_id"), "_row", generalised(F.col("_text"), F.col("spans")).alias("_clean")).distinct()
     found, _ = written(found, "sanitised")
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    joined = keyed.join(found, keyed[id].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
-    return joined.select(*[F.coalesce("_clean", text).alias(text) if c == text else keyed[c] for c in docs.columns])
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id).alias("_of"), F.xxhash64(text).alias("_hash"))
+    joined = whole.join(found, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
+    return joined.select(*[F.coalesce("_clean", f"_doc.{c}").alias(c) if c == text else F.col(f"_doc.{c}") for c in docs.columns])
