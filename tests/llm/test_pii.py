@@ -66,7 +66,7 @@ def test_terms_that_reveal_an_entity(texts):
 
 def test_sanitise(texts, spark):
     data = [*story(), (200, "Mail a@b.co or 1.2.3.4, call +49 30 1234567."), (201, None), (202, ""), (None, "x@y.zz"), (203, "x@y.zz"), (203, "x@y.zz"),
-            (203, "plain"), (204, "+1 4111 1111 1111 1111 a")]
+            (203, "plain"), (204, "call +4222222222222 now")]
     given = texts(data)
     found = pii.sanitise(given)
     assert found.columns == given.columns
@@ -77,5 +77,5 @@ def test_sanitise(texts, spark):
     assert out[200] == ["Mail [EMAIL] or [IP], call [PHONE]."] and out[201] == [None] and out[202] == [""]
     assert out[None] == ["[EMAIL]"] and sorted(out[203]) == ["[EMAIL]", "[EMAIL]", "plain"]
     assert "quillon" not in "".join(out[102]).lower() and "[TERM]" in out[100][0] and out[0] == [dict(data)[0]]
-    assert not re.search("[0-9]", out[204][0])
+    assert out[204] == ["call [PHONE] now"]  # the card number inside is part of it
     assert pii.find_private(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0

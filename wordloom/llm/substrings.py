@@ -118,24 +118,27 @@ def _suffix_words(marked: DataFrame, id: str, text: str, window: int) -> DataFra
 
 
 def _full_prefixes(marked: DataFrame, id: str, text: str, window: int) -> DataFrame:
-    """(id, _row, node, start): for prefixes of large groups each window with its whole depth as prefix.
+    """(id, _row, whole, first, nodes): for prefixes of large groups each window with its whole depth as prefix.
 
-    A node is the 128-bit key of the window's words.
+    nodes are 128-bit keys of the windows' words, one per window from `first` on, and whole is the key
+    of all these words.
     """
-    schema = _schema(marked, id, node="binary", start="integer")
+    schema = _schema(marked, id, whole="binary", first="integer").add("nodes", T.ArrayType(T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            at, nodes, starts = [], [], []
+            at, wholes, firsts, nodes = [], [], [], []
             for i, (t, suffixes) in enumerate(zip(batch.column(text).to_pylist(), batch.column("suffixes").to_pylist())):
-                hot = {w for s in suffixes if s["hot"] for w in range(s["first"], s["first"] + s["count"])}
+                hot = [(s["first"], s["count"]) for s in suffixes if s["hot"]]
                 words = split_words(t) if hot else []
-                for start in hot:
+                for first, count in hot:
                     at.append(i)
-                    nodes.append(xxhash.xxh3_128_digest(b" ".join(words[start:start + window])))
-                    starts.append(start)
+                    firsts.append(first)
+                    wholes.append(xxhash.xxh3_128_digest(b" ".join(words[first:first + count + window - 1])))
+                    nodes.append([xxhash.xxh3_128_digest(b" ".join(words[s:s + window])) for s in range(first, first + count)])
             if at:
-                yield _emit(batch, np.array(at), schema, pa.array(nodes, pa.binary()), pa.array(starts, pa.int32()))
+                yield _emit(batch, np.array(at), schema, pa.array(wholes, pa.binary()), pa.array(firsts, pa.int32()),
+                            pa.array(nodes, pa.list_(pa.binary())))
 
     return marked.mapInArrow(run, schema)
 
@@ -165,12 +168,12 @@ def deep_nodes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _covered_in_trees(suffixes: DataFrame, id: str, window: int) -> DataFrame:
-    """(id, _row, start): windows whose node also has a suffix of a document with a smaller id.
+    """(id, _row, start, count): windows whose node also has a suffix of a document with a smaller id.
 
     Rows arrive sorted by key; whole groups are held up to a bounded number of rows, and one tree is
     built for them.
     """
-    schema = _schema(suffixes, id, start="integer")
+    schema = _schema(suffixes, id, start="integer", count="integer")
 
     def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         row, node = deep_nodes([t.encode() for t in rows["words"].to_pylist()], window)
@@ -182,7 +185,8 @@ def _covered_in_trees(suffixes: DataFrame, id: str, window: int) -> DataFrame:
         late = ids[row] > least[node]
         if late.any():
             for batch in rows.select([id, ROW]).combine_chunks().to_batches():
-                yield _emit(batch, row[late], schema, pa.array((first[row[late]] + place[late]).astype(np.int32)))
+                yield _emit(batch, row[late], schema, pa.array((first[row[late]] + place[late]).astype(np.int32)),
+                            pa.array(np.ones(int(late.sum()), np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -200,16 +204,30 @@ def _covered_in_trees(suffixes: DataFrame, id: str, window: int) -> DataFrame:
     return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
-def _covered_at_depth(windows: DataFrame, id: str) -> DataFrame:
-    """The same for full prefixes: each is one node, whose least id is found by partial minima."""
-    windows, _ = written(windows, "windows")
-    least, _ = written(windows.groupBy("node").agg(F.min(id).alias("least"), F.max(id).alias("most"))
-                       .filter("least < most").drop("most"), "nodes")
-    return windows.join(least, "node").filter(F.col(id) > F.col("least")).select(id, ROW, "start")
+def _least(rows: DataFrame, by: str, id: str, how: str) -> DataFrame:
+    """Rows with the least id of their group, found by partial minima; groups of one id have none."""
+    least, _ = written(rows.groupBy(by).agg(F.min(id).alias("least"), F.max(id).alias("most")).filter("least < most").drop("most"), "least")
+    return rows.join(least, by, how)
+
+
+def _covered_at_depth(suffixes: DataFrame, id: str) -> DataFrame:
+    """The same for full prefixes: each is one node, whose least id is found by partial minima.
+
+    Suffixes whose words are all the same are judged by one row each: the copies go as a whole, and
+    only the first document's windows are compared with those of other suffixes.
+    """
+    suffixes, _ = written(suffixes, "hot")
+    copies, _ = written(_least(suffixes, "whole", id, "left"), "copies")
+    late = F.col(id) > F.col("least")
+    gone = copies.filter(late).select(id, ROW, F.col("first").alias("start"), F.size("nodes").alias("count"))
+    first = copies.filter(~late | F.col("least").isNull()).select(id, ROW, "first", F.posexplode("nodes").alias("place", "node"))
+    single = _least(first, "node", id, "inner").filter(late).select(
+        id, ROW, (F.col("first") + F.col("place")).alias("start"), F.lit(1).alias("count"))
+    return gone.union(single)
 
 
 def _without(judged: DataFrame, id: str, text: str, window: int) -> DataFrame:
-    """(id, n_words, n_removed, kept) after removing the windows that begin at `starts`."""
+    """(id, n_words, n_removed, kept) after removing the windows that begin in `starts`."""
     schema = T.StructType([T.StructField(id, judged.schema[id].dataType)])
     schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
@@ -221,8 +239,9 @@ def _without(judged: DataFrame, id: str, text: str, window: int) -> DataFrame:
                 n_words.append(len(words))
                 if starts:
                     steps = np.zeros(len(words) + 1, np.int64)
-                    steps[starts] += 1
-                    steps[np.array(starts) + window] -= 1
+                    first = np.array([s["start"] for s in starts])
+                    np.add.at(steps, first, 1)
+                    np.add.at(steps, first + np.array([s["count"] for s in starts]) + window - 1, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(steps[:-1]) == 0)]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
@@ -262,7 +281,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     marked = judged.filter("suffixes IS NOT NULL")
     late = _covered_in_trees(_suffix_words(marked, id, "_text", window), id, window).union(
         _covered_at_depth(_full_prefixes(marked, id, "_text", window), id))
-    starts, _ = written(late.groupBy(id, ROW).agg(F.sort_array(F.collect_set("start")).alias("starts")), "starts")
-    none = judged.filter("suffixes IS NULL").withColumn("starts", F.array().cast("array<int>"))
+    starts, _ = written(late.groupBy(id, ROW).agg(F.collect_set(F.struct("start", "count")).alias("starts")), "starts")
+    none = judged.filter("suffixes IS NULL").withColumn("starts", F.array().cast("array<struct<start:int,count:int>>"))
     return _without(none, id, "_text", window).union(
         _without(marked.join(starts, [id, ROW], "left"), id, "_text", window))
