@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import (ALL_FREQS, FREQS, NON_WORD, RANKED, SPACE, STOP, TOKEN_LISTS, documents, ngrams_sql,
                             space_tokens_sql, strip_sql, table)
+from wordloom.constants import NETWORK_MAX_LINKS
 from wordloom.functions import text as T
 from wordloom.operators import cooccurrence as co, corpus, frequency as fq, ngrams as ng, overlap as ov
 from wordloom.operators.normalize import normalize_corpus, stem_dictionary
@@ -83,7 +84,7 @@ QUERIES = {
     "cooccurrence_edges": _edges,
     "cooccurrence_threshold": lambda s, d: co.cooccurrence_threshold(_edges(s, d), 10_000),
     "cooccurrence_network": lambda s, d: co.cooccurrence_network(_edges(s, d), top_n=20),
-    "network_degree": lambda s, d: co.network_degree(co.cooccurrence_network(_edges(s, d), top_n=20)),
+    "network_degree": lambda s, d: co.network_degree(co.cooccurrence_network(_edges(s, d), top_n=20), NETWORK_MAX_LINKS),
 }
 
 _VOCAB = f"""words AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '{NON_WORD}'),
@@ -160,7 +161,7 @@ ORACLES = {
         sum(frequency) OVER () AS total FROM ranked), steps AS (SELECT unnest([50, 80, 90]) AS step)
         SELECT CAST(step AS BIGINT) AS step, min(rank) AS rank FROM c JOIN steps ON 100 * seen >= step * total GROUP BY step""",
     "coverage": f"""WITH {FREQS}, {RANKED} SELECT rank, round(CAST(sum(frequency) OVER (ORDER BY rank) AS DOUBLE)
-        / (SELECT sum(frequency) FROM freqs), 6) AS coverage FROM ranked WHERE rank BETWEEN 100 AND 10000""",
+        / (SELECT sum(frequency) FROM freqs), 6) AS coverage FROM ranked WHERE rank >= 100""",
     "coverage_cumulative": f"""WITH {FREQS}, {RANKED} SELECT rank, round(CAST(sum(frequency) OVER (ORDER BY rank) AS DOUBLE)
         / sum(frequency) OVER () * 100, 6) AS coverage_pct FROM ranked""",
     "corpus_stats": f"""WITH w AS (SELECT unnest({space_tokens_sql('text')}) AS w FROM documents),

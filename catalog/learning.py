@@ -34,7 +34,7 @@ def _ml_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
     return dense(train), dense(test)
 
 
-def _tf(spark, sf, weights=None, percent=10.0, max_n=2, **fit):
+def _tf(spark, sf, weights=None, percent=100.0, max_n=2, **fit):
     docs = _docs(spark, sf)
     vocabulary = ft.fit_vocabulary(docs, percent=percent, max_n=max_n, **fit)
     return (weights or ft.tf_features)(docs, vocabulary, max_n=max_n)
@@ -115,6 +115,20 @@ def _cross_validate_multilabel(spark, sf):
     return ex.cross_validate_multilabel(folded, ["nb", "lr"], ["tfidf"], ["quality", "toxic"], dataset="labels", settings=FAST)
 
 
+def _accepted(spark, sf) -> DataFrame:
+    """(model, feature, accepted, classes): what each model takes, beside the classes it would tell apart."""
+    def taken(model, feature):
+        try:
+            cl.check_model_features(model, feature)
+            return True
+        except ValueError:
+            return False
+
+    rows = [(m, f, taken(m, f)) for m in cl.MODEL_FEATURES for f in ("tf", "tfidf", "word2vec")]
+    classes = documents(spark, sf).agg(F.count_distinct("lang").alias("classes"))
+    return spark.createDataFrame(rows, "model string, feature string, accepted boolean").withColumn("classes", classes.scalar())
+
+
 def _audit(spark, sf):
     rows = labelled(spark, sf).select("doc_id", "text", F.col("quality").cast("string").alias("label"))
     folded = materialize(sp.stratified_kfold(rows, 2))
@@ -159,6 +173,7 @@ QUERIES = {
     "model_gaussian_nb": _dense_report("gaussian_nb"),
     "model_gda": _dense_report("gda"),
     "binary_relevance": _relevance,
+    "check_model_features": _accepted,
     "constant_baseline": _baseline,
     "cross_validate": _cross_validate,
     "cross_validate_multilabel": _cross_validate_multilabel,
@@ -178,7 +193,7 @@ def _vocab_sql(docs: str, max_n: int, min_df: int, size: str) -> str:
       ORDER BY total DESC, substr(md5(term), 1, 3), term) <= {size})"""
 
 
-_TENTH = "(SELECT greatest(10, CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT)) FROM stats WHERE NOT contains(term, ' '))"
+_WHOLE = "(SELECT greatest(10, count(*)) FROM stats WHERE NOT contains(term, ' '))"
 
 
 def _tfidf_sql(vocab: str, tf: str = "tf") -> str:
@@ -226,10 +241,13 @@ picks AS (SELECT lang, {_random_sql(42, 'lang', 'i')} % n + 1 AS p FROM draws),
 placed AS (SELECT doc_id, lang, {_ROW} AS p FROM documents)"""
 
 ORACLES = {
-    "tf_features": f"WITH {_vocab_sql('documents', 2, 2, _TENTH)} SELECT doc_id, term, tf FROM counts SEMI JOIN vocab USING (term)",
-    "tfidf_features": _tfidf_sql(_vocab_sql("documents", 2, 2, _TENTH)),
+    "check_model_features": """SELECT model, feature, NOT ((model = 'nb' AND feature = 'word2vec') OR (model = 'gda' AND feature <> 'word2vec'))
+        AS accepted, (SELECT count(DISTINCT lang) FROM documents) AS classes FROM (VALUES ('nb'), ('gda'), ('lr'), ('svm'), ('knn')) m(model),
+        (VALUES ('tf'), ('tfidf'), ('word2vec')) f(feature)""",
+    "tf_features": f"WITH {_vocab_sql('documents', 2, 2, _WHOLE)} SELECT doc_id, term, tf FROM counts SEMI JOIN vocab USING (term)",
+    "tfidf_features": _tfidf_sql(_vocab_sql("documents", 2, 2, _WHOLE)),
     "tfidf_default": _tfidf_sql(_vocab_sql("documents", 1, 1, "1000")),
-    "tfidf_sublinear": _tfidf_sql(_vocab_sql("documents", 1, 2, _TENTH), "(1 + ln(CAST(tf AS DOUBLE)))"),
+    "tfidf_sublinear": _tfidf_sql(_vocab_sql("documents", 1, 2, _WHOLE), "(1 + ln(CAST(tf AS DOUBLE)))"),
     "standardize": """WITH x AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS dim,
         CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT vec_id, dim, round((v - avg(v) OVER (PARTITION BY dim))
         / stddev_pop(v) OVER (PARTITION BY dim), 6) AS value FROM x""",

@@ -14,7 +14,7 @@ def _sentiment(spark, sf):
 
 
 def _entities(spark, sf):
-    return en.entities(documents(spark, sf), gazetteer(spark, sf), max_words=2)
+    return en.entities(documents(spark, sf), gazetteer(spark, sf))
 
 
 def _phrases(spark, sf):

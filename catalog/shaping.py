@@ -67,7 +67,7 @@ def _to_docx(texts):
 def _binary_docs(spark, sf) -> DataFrame:
     files = documents(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"),
                                         _to_docx("text").alias("content"))
-    return binary.extract_binary_docs(files).filter("error IS NULL").select("path", "row", "text")
+    return binary.extract_binary_docs(files).select("path", "row", F.coalesce("text", F.concat(F.lit("error: "), "error")).alias("text"))
 
 
 def _json_round_trip(spark, sf) -> DataFrame:
@@ -133,7 +133,7 @@ QUERIES = {
     "class_balance": lambda s, d: lb.class_balance(documents(s, d), "lang"),
     "class_share": lambda s, d: lb.class_share(documents(s, d), "lang"),
     "label_statistics": lambda s, d: lb.label_statistics(table(s, d, "labels"), ["quality", "toxic"]),
-    "labelset_counts": lambda s, d: lb.labelset_counts(table(s, d, "labels"), ["quality", "toxic"]),
+    "labelset_counts": lambda s, d: lb.labelset_counts(table(s, d, "labels"), ["quality", "toxic"], top_n=20),
 }
 
 _PARSED = rf"""{LINES}, parsed AS (SELECT doc_id, value, list_transform(string_split(regexp_extract(value,

@@ -292,3 +292,52 @@ def test_counts_add_up(spark, corpus):
     tokens = corpus.select(F.sum(F.size(F.split("text", " "))).alias("n")).first().n
     assert fq.word_frequency(corpus).agg(F.sum("frequency")).first()[0] == tokens
     assert rows(fq.coverage_cumulative(fq.word_frequency(corpus)), "rank")[-1][1] == 100.0
+
+
+def test_null_labels_stay_in_splits_and_grow(spark):
+    from wordloom.operators import sampling as sp
+
+    df = spark.createDataFrame([(i, None if i < 3 else "a") for i in range(10)], "doc_id bigint, label string")
+    assert sp.train_test_split(df).count() == 10
+    sizes = {r.label: r.n for r in sp.class_sizes(sp.random_oversample(df), "label").collect()}
+    assert sizes == {None: 7, "a": 7}
+
+
+def test_names_never_get_the_code_of_a_number(spark):
+    from wordloom.operators import labels as lb
+
+    df = spark.createDataFrame([(x,) for x in ("0", "cat", "1", "dog", "1e3")], "label string")
+    assert rows(lb.label_ids(df).select("label_name", "label_id"), "label_name") == [
+        ("0", "0"), ("1", "1"), ("1e3", "1e3"), ("cat", "2"), ("dog", "3")]
+
+
+def test_shares_of_few_neighbours_add_up(spark):
+    from wordloom.operators.classifiers import k_nearest
+
+    train = spark.createDataFrame([(1, "a", [0.0]), (2, "b", [1.0]), (3, "b", [2.0])], "doc_id bigint, label string, features array<double>")
+    found = k_nearest(train, train.limit(1), "label", "doc_id", "features", 3, k=5).first().probability
+    assert abs(sum(found.values()) - 1) < 1e-9
+
+
+def test_long_phrases_are_found(spark):
+    from wordloom.operators import entities as en
+
+    df = spark.createDataFrame([(1, "The Bank of New York City, in New York.")], "doc_id bigint, text string")
+    gazetteer = spark.createDataFrame([("bank of new york city", "ORG"), ("new york", "GPE")], "phrase string, entity_type string")
+    assert rows(en.entities(df, gazetteer).select("text"), "text") == [("Bank of New York City",), ("New York",), ("New York",)]
+
+
+def test_one_long_sentence(spark):
+    from wordloom.operators.sentiment import sentence_sentiment
+
+    df = spark.createDataFrame([(1, "good " * 80_000), (2, ""), (None, "bad")], "doc_id bigint, text string")
+    lexicon = spark.createDataFrame([("good", 1), ("bad", -1)], "word string, valence int")
+    assert {r.doc_id: r.score for r in sentence_sentiment(df, lexicon).collect()} == {1: 80_000, None: -1}
+
+
+def test_ranges_are_made_by_many_tasks(spark):
+    from wordloom.operators.ranking import explode_range
+
+    one = spark.createDataFrame([(0,)], "x bigint").coalesce(1)
+    df = explode_range(one, F.lit(1), F.lit(1_000_000), "i", spread=True)
+    assert df.groupBy(F.spark_partition_id()).count().count() > 1 and df.agg(F.sum("i")).first()[0] == 500_000_500_000

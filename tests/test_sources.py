@@ -104,3 +104,20 @@ def test_results(spark, tmp_path):
         assert spark.read.format(kind).load(str(tmp_path / kind)).count() == 1
     with pytest.raises(ValueError):
         delimited.write_results(df, str(tmp_path / "x"), "xml")
+
+
+def test_each_file_has_its_own_dialect(spark, tmp_path):
+    """A header, or a delimiter, of one file says nothing about another."""
+    (tmp_path / "a.csv").write_text("label,text\nspam,one\nham,two\n")
+    (tmp_path / "b.csv").write_text("spam,a sentence much longer than any column name would ever be\nham,four\n")
+    (tmp_path / "c [x].csv").write_text("label;text\nham;five, six\n")
+    (tmp_path / "d.csv").write_text("")
+    got = delimited.read_delimited(spark, str(tmp_path))
+    assert sorted(r.text for r in got.data.collect()) == [
+        "a sentence much longer than any column name would ever be", "five, six", "four", "one", "two"]
+    assert got.data.columns == ["label", "text"]
+
+
+def test_no_files_with_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    assert delimited.read_delimited(spark, str(tmp_path)).data.count() == 0

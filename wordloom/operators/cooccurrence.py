@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.constants import MAX_TOP_N, NETWORK_MAX_LINKS, STOPWORDS
+from wordloom.constants import MAX_TOP_N, STOPWORDS
 from wordloom.functions import text as T
 from wordloom.functions.rows import explode_rows
 from wordloom.operators.ranking import top_per_group
@@ -25,7 +25,7 @@ def _is_stop():
 def cooccurrence_vocab(df: DataFrame, top_n: int = 100, include_stopwords: bool = True,
                        text: str = "text") -> DataFrame:
     """(word, is_stop, doc_freq): top words by document frequency, and as many top stopwords."""
-    top_n = max(1, min(MAX_TOP_N, top_n))
+    top_n = max(1, top_n)
     size = max(3 * top_n, 30)
     words = explode_rows(df, F.array_distinct(T.tokenize_vocab(F.col(text))), "word")
     counts = words.groupBy("word").agg(F.count("*").alias("doc_freq")).withColumn("is_stop", _is_stop())
@@ -72,6 +72,8 @@ def cooccurrence_edges(df: DataFrame, vocabulary: list[str], text: str = "text")
 def cooccurrence(df: DataFrame, top_n: int = 100, include_stopwords: bool = True,
                  text: str = "text") -> DataFrame:
     """All edges among the selected vocabulary, computed once and kept."""
+    if top_n > MAX_TOP_N:  # the pair matrix of a task would not fit into memory
+        raise ValueError(f"co-occurrence takes at most {MAX_TOP_N} words")
     chosen = cooccurrence_vocab(df, top_n, include_stopwords, text).select("word")
     vocabulary = [r.word for r in chosen.collect()]  # at most 6,000 words
     if not vocabulary:
@@ -81,7 +83,7 @@ def cooccurrence(df: DataFrame, top_n: int = 100, include_stopwords: bool = True
 
 def cooccurrence_threshold(edges: DataFrame, min_cooccurrence: int = 2) -> DataFrame:
     """(max_value, min_cooccurrence_used): falls back to what the corpus can reach."""
-    asked = max(1, min(1000, min_cooccurrence))
+    asked = max(1, min_cooccurrence)
     top = F.max("value")
     reachable = F.greatest(F.lit(2), F.least(F.lit(asked), top))
     used = (F.when(top.isNull() | (top >= asked), F.lit(asked))
@@ -101,9 +103,9 @@ def cooccurrence_network(edges: DataFrame, top_n: int = 100, min_cooccurrence: i
     strong = edges.filter(F.col("value") >= used.scalar())
     ranked = node_strength(strong).withColumn("is_stop", _is_stop())
     keep = top_per_group(ranked, ["is_stop"], [F.desc("strength"), F.col("word")],
-                         max(1, min(MAX_TOP_N, top_n))).select("word")
-    return (strong.join(F.broadcast(keep.withColumnRenamed("word", "source")), "source", "left_semi")
-            .join(F.broadcast(keep.withColumnRenamed("word", "target")), "target", "left_semi")
+                         max(1, top_n)).select("word")
+    return (strong.join(keep.withColumnRenamed("word", "source"), "source", "left_semi")
+            .join(keep.withColumnRenamed("word", "target"), "target", "left_semi")
             .select("source", "target", "value"))
 
 
@@ -112,8 +114,8 @@ def network_nodes(network: DataFrame) -> DataFrame:
     return network.select(F.explode(F.array("source", "target")).alias("id")).distinct()
 
 
-def network_degree(network: DataFrame, max_links: int = NETWORK_MAX_LINKS) -> DataFrame:
-    """(id, degree) over the strongest links; words without a link drop out."""
-    links = network.orderBy(F.desc("value"), "source", "target").limit(max_links)
+def network_degree(network: DataFrame, max_links: int | None = None) -> DataFrame:
+    """(id, degree) over all links, or the `max_links` strongest; words without a link drop out."""
+    links = network if max_links is None else network.orderBy(F.desc("value"), "source", "target").limit(max_links)
     return links.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(
         F.count("*").alias("degree"))

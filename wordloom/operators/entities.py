@@ -53,17 +53,20 @@ def _grams(pieces: Column, max_words: int) -> Column:
 
 
 def entities(df: DataFrame, gazetteer: DataFrame, text: str = "text", id: str = "doc_id",
-             max_words: int = 3, inline_limit: int = 10_000) -> DataFrame:
+             max_words: int | None = None, inline_limit: int = 10_000) -> DataFrame:
     """(id, text, entity_type, start, end, source): gazetteer phrases found in the text.
 
     Words are runs of letters, digits and underscores; a phrase matches its words with the same
-    characters between them, whatever their case. Offsets count characters from 0.
+    characters between them, whatever their case; `max_words` leaves longer phrases out. Offsets count characters from 0.
 
     A gazetteer of at most `inline_limit` phrases becomes a literal set and each document is matched
     in place. A larger one is joined with the documents' n-grams.
     """
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
     docs = df.select(id, pieces.alias("p"))
+    if max_words is None:
+        words = F.size(F.regexp_extract_all("phrase", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+        max_words = gazetteer.agg(F.max(words)).first()[0] or 1
     named = gazetteer.select(F.lower("phrase").alias("key"), "entity_type").distinct()
     keys = [r.key for r in named.select("key").distinct().limit(inline_limit + 1).collect()]
     if len(keys) <= inline_limit:

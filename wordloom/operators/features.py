@@ -115,18 +115,24 @@ class TextVectors:
 
 
 class WordVectors:
-    """Mean Word2Vec vector of a document's known tokens; zero where it has none."""
+    """Mean Word2Vec vector of a document's known tokens; zero where it has none.
+
+    Training runs in `partitions` tasks, by default as many as the cluster runs at once. MLlib keeps the
+    vocabulary of words seen `min_count` times on the driver.
+    """
 
     def __init__(self, size: int = 100, window: int = 5, min_count: int = 2, epochs: int = 10, seed: int = 42,
-                 partitions: int = 1, text: str = "text", id: str = "doc_id", column: str = "features"):
-        self.size, self.text, self.id, self.column = size, text, id, column
+                 partitions: int | None = None, text: str = "text", id: str = "doc_id", column: str = "features"):
+        self.size, self.text, self.id, self.column, self.partitions = size, text, id, column, partitions
         self.estimator = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
-                                  numPartitions=partitions, inputCol="_tokens", outputCol="_v")
+                                  numPartitions=partitions or 1, inputCol="_tokens", outputCol="_v")
 
     def _tokens(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_tokens", T.space_tokens(F.col(self.text)))
 
     def fit(self, train: DataFrame) -> "WordVectors":
+        if self.partitions is None:
+            self.estimator.setNumPartitions(train.sparkSession.sparkContext.defaultParallelism)
         self.model = self.estimator.fit(self._tokens(train))
         self.vectors = materialize(self.model.getVectors().withColumnRenamed("word", "_token"))
         return self

@@ -86,7 +86,7 @@ def zipf(df: DataFrame, text: str = "text", include_stopwords: bool = True,
 def _ranks(runs: DataFrame, low: Column, high: Column) -> DataFrame:
     """One row per rank in [low, high] of a spectrum, with the tokens covered up to it."""
     first, last = F.col("words_before") + 1, F.col("words_before") + F.col("words")
-    ranks = explode_range(runs, F.greatest(first, low), F.least(last, high), "rank")
+    ranks = explode_range(runs, F.greatest(first, low), F.least(last, high), "rank", spread=True)
     seen = F.col("tokens_before") + F.col("frequency") * (F.col("rank") - F.col("words_before"))
     return ranks.withColumn("seen", seen)
 
@@ -128,7 +128,7 @@ def coverage_milestones(freqs: DataFrame, steps: tuple[int, ...] = (50, 80, 90))
             .agg(F.min(F.col("words_before") + words_needed).cast("bigint").alias("rank")))
 
 
-def coverage(freqs: DataFrame, min_rank: int = 1, max_rank: int | None = 10000) -> DataFrame:
+def coverage(freqs: DataFrame, min_rank: int = 1, max_rank: int | None = None) -> DataFrame:
     """(rank, coverage): share of all tokens covered by the ranks from `min_rank` on."""
     first = max(1, min_rank)
     skipped = F.col("frequency") * F.greatest(F.lit(0), F.least(F.col("words"), first - 1 - F.col("words_before")))

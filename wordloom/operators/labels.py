@@ -30,11 +30,14 @@ def write_labeled_lines(df: DataFrame, labels: str = "labels", text: str = "text
 def label_ids(df: DataFrame, label: str = "label") -> DataFrame:
     """(label_name, label_id): alphabetical codes for names, numeric labels as they are.
 
-    A label column has few distinct values; the window sees those only.
+    Codes begin above the largest whole number among the labels, so a name never gets the code of a
+    numeric label. A label column has few distinct values; the window sees those only.
     """
     names = df.select(F.trim(F.col(label).cast("string")).alias("label_name")).filter("label_name <> ''").distinct()
     numeric = F.col("label_name").try_cast("double").isNotNull()
-    code = F.row_number().over(W.partitionBy(numeric).orderBy("label_name")) - 1
+    whole = F.when(F.col("label_name").rlike("^[0-9]{1,15}$"), F.col("label_name").try_cast("bigint"))
+    above = F.coalesce(F.max(whole).over(W.partitionBy()) + 1, F.lit(0))
+    code = above + F.row_number().over(W.partitionBy(numeric).orderBy("label_name")) - 1
     return names.select("label_name", F.when(numeric, F.col("label_name")).otherwise(code.cast("string"))
                         .alias("label_id"))
 
@@ -159,8 +162,9 @@ def label_statistics(df: DataFrame, label_columns: list[str]) -> DataFrame:
                          F.inline(rows))
 
 
-def labelset_counts(df: DataFrame, label_columns: list[str], top_n: int = 20) -> DataFrame:
-    """The most frequent combinations of 0/1 labels."""
+def labelset_counts(df: DataFrame, label_columns: list[str], top_n: int | None = None) -> DataFrame:
+    """Combinations of 0/1 labels, the most frequent first; `top_n` of them if given."""
     combined = F.concat_ws(",", *[F.col(c).cast("string") for c in label_columns])
     counts = df.groupBy(combined.alias("labelset")).agg(F.count("*").alias("documents"))
-    return counts.orderBy(F.desc("documents"), "labelset").limit(top_n)
+    ranked = counts.orderBy(F.desc("documents"), "labelset")
+    return ranked if top_n is None else ranked.limit(top_n)

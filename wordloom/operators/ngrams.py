@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.constants import MAX_TOP_N
 from wordloom.functions import text as T
 from wordloom.functions.rows import explode_rows
 from wordloom.operators.corpus import filter_class
@@ -31,7 +30,7 @@ def ngram_counts(df: DataFrame, n: int = 2, text: str = "text", include_stopword
 def ngrams(df: DataFrame, n: int = 2, top_n: int = 25, **options) -> DataFrame:
     """The most frequent n-grams."""
     counts = ngram_counts(df, n, **options)
-    return counts.orderBy(F.desc("frequency"), "ngram").limit(max(1, min(MAX_TOP_N, top_n)))
+    return counts.orderBy(F.desc("frequency"), "ngram").limit(max(1, top_n))
 
 
 def ngram_summary(df: DataFrame, n: int = 2, text: str = "text", include_stopwords: bool = False,
@@ -50,5 +49,5 @@ def ngram_share(df: DataFrame, n: int = 2, top_n: int = 25, **options) -> DataFr
     """The most frequent n-grams with their share of all n-grams in %."""
     counts = ngram_counts(df, n, **options)
     total = counts.agg(F.sum("frequency").alias("total"))
-    top = counts.orderBy(F.desc("frequency"), "ngram").limit(max(1, min(MAX_TOP_N, top_n)))
+    top = counts.orderBy(F.desc("frequency"), "ngram").limit(max(1, top_n))
     return top.select("ngram", "frequency", F.round(100.0 * F.col("frequency") / total.scalar(), 6).alias("share_pct"))

@@ -56,11 +56,17 @@ def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int,
     return df.withColumn(name, position.cast("bigint")).filter(F.col(name) <= n)
 
 
-def explode_range(df: DataFrame, low: Column, high: Column, name: str, chunk: int = 100_000) -> DataFrame:
-    """One row per integer in [low, high], in two steps so that no array grows with the data."""
+def explode_range(df: DataFrame, low: Column, high: Column, name: str, chunk: int = 100_000,
+                  spread: bool = False) -> DataFrame:
+    """One row per integer in [low, high], in two steps so that no array grows with the data.
+
+    With `spread` the chunks are dealt to all tasks in between, for tables that a window left in one.
+    """
     start, stop = F.col("_start"), F.col("_stop")
-    return (df.withColumn("_low", low.cast("bigint")).withColumn("_stop", high.cast("bigint"))
-            .filter(F.col("_low") <= stop)
-            .withColumn("_start", F.explode(F.sequence("_low", "_stop", F.lit(chunk).cast("bigint"))))
-            .withColumn(name, F.explode(F.sequence(start, F.least(start + (chunk - 1), stop))))
+    chunks = (df.withColumn("_low", low.cast("bigint")).withColumn("_stop", high.cast("bigint"))
+              .filter(F.col("_low") <= stop)
+              .withColumn("_start", F.explode(F.sequence("_low", "_stop", F.lit(chunk).cast("bigint")))))
+    if spread:
+        chunks = chunks.repartition(df.sparkSession.sparkContext.defaultParallelism, "_low", "_start")
+    return (chunks.withColumn(name, F.explode(F.sequence(start, F.least(start + (chunk - 1), stop))))
             .drop("_low", "_start", "_stop"))

@@ -37,8 +37,9 @@ def train_test_split(df: DataFrame, label: str | None = "label", id: str = "doc_
         "_base": F.floor(F.col("n") * tests / total), "_rest": F.col("n") * tests % total, "_tests": tests})
     left = F.col("_tests") - F.sum("_base").over(whole)
     turn = F.row_number().over(W.orderBy(F.desc("_rest"), group))
-    quota = quota.withColumn("_n_test", F.col("_base") + F.when(turn <= left, 1).otherwise(0)).select(group, "_n_test")
-    placed = shuffled_position(rows, [group], id, seed, "_position").join(broadcast_if_small(quota), group)
+    quota = quota.select(F.col(group).alias("_group"), (F.col("_base") + F.when(turn <= left, 1).otherwise(0)).alias("_n_test"))
+    placed = shuffled_position(rows, [group], id, seed, "_position").join(
+        broadcast_if_small(quota), F.col(group).eqNullSafe(F.col("_group")))
     split = F.when(F.col("_position") <= F.col("_n_test"), "test").otherwise("train")
     return placed.withColumn("split", split).select(*df.columns, "split")
 
@@ -79,7 +80,7 @@ def random_index(seed: int, *parts: Column) -> Column:
 def _draws(sizes: DataFrame, label: str, seed: int) -> DataFrame:
     """One row per missing row of each class, with the position it is drawn from."""
     missing = sizes.withColumn("_missing", F.max("n").over(W.partitionBy()) - F.col("n"))
-    draws = explode_range(missing, F.lit(1), F.col("_missing"), "draw")
+    draws = explode_range(missing, F.lit(1), F.col("_missing"), "draw", spread=True)
     return draws.withColumn("_position", random_index(seed, F.col(label), F.col("draw")) % F.col("n") + 1)
 
 
@@ -90,8 +91,9 @@ def random_oversample(df: DataFrame, label: str = "label", id: str = "doc_id", s
     matched once and repeated in place.
     """
     copies = _draws(class_sizes(df, label), label, seed).groupBy(label, "_position").agg(F.count("*").alias("_copies"))
+    copies = copies.withColumnsRenamed({label: "_group", "_position": "_drawn"})
     placed = shuffled_position(df, [label], id, seed, "_position")
-    drawn = placed.join(copies, [label, "_position"])
+    drawn = placed.join(copies, F.col(label).eqNullSafe(F.col("_group")) & (F.col("_position") == F.col("_drawn")))
     repeated = explode_range(drawn, F.lit(1), F.col("_copies"), "copy")
     original = df.withColumn("copy", F.lit(0).cast("bigint"))
     return original.unionByName(repeated.select(*df.columns, "copy"))
@@ -116,10 +118,10 @@ def resampling_report(before: DataFrame, after: DataFrame, method: str, label: s
 
 def leakage_check(split: DataFrame, id: str = "doc_id", text: str | None = None) -> DataFrame:
     """Training and test rows, and test rows whose id (or text) is in the training part too."""
-    key = id if text is None else text
-    train = split.filter("split = 'train'").select(key).distinct()
-    test = split.filter("split = 'test'")
-    leaked = test.join(train, key, "left_semi").agg(F.count("*").alias("n"))
+    key = F.col(id) if text is None else F.sha2(text, 256)  # texts meet by their digest
+    train = split.filter("split = 'train'").select(key.alias("_key")).distinct()
+    test = split.filter("split = 'test'").select(key.alias("_key"))
+    leaked = test.join(train, "_key", "left_semi").agg(F.count("*").alias("n"))
     return split.agg(F.count_if(F.col("split") == "train").alias("n_train"),
                      F.count_if(F.col("split") == "test").alias("n_test")).withColumn("n_leaked", leaked.scalar())
 

@@ -15,14 +15,14 @@ def profile_columns(df: DataFrame) -> DataFrame:
     places = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), _text_of(c).alias("v"))
                        for i, c in enumerate(df.columns)])
     cells = df.select(F.inline(places)).withColumn("t", F.nullif(T.strip(F.col("v")), F.lit("")))
-    # Distinct values meet by hash of (column, value): a column of unique texts spreads out.
-    values = cells.groupBy("position", "column", "t").agg(
-        F.count("*").alias("n"), F.max(F.length("v")).alias("longest_raw"))
+    # Distinct values meet by a 256-bit digest, so no text is shuffled.
+    values = cells.groupBy("position", "column", F.sha2("t", 256).alias("t")).agg(
+        F.count("*").alias("n"), F.max(F.length("v")).alias("longest_raw"), F.max(F.length("t")).alias("length"))
     name = F.lower(F.trim("column"))
     return values.groupBy("position", "column").agg(
         F.sum("n").alias("n_rows"),
         F.count("t").alias("n_distinct"),
-        F.coalesce(F.max(F.length("t")), F.lit(0)).cast("bigint").alias("max_length"),
+        F.coalesce(F.max("length"), F.lit(0)).cast("bigint").alias("max_length"),
         F.coalesce(F.max("longest_raw") > 20, F.lit(False)).alias("is_long_text"),
     ).select(F.col("position").cast("bigint").alias("position"), "column", "n_rows", "n_distinct", "max_length",
              "is_long_text", name.isin(TEXT_NAME_HINTS).alias("hinted_text"),

@@ -55,9 +55,12 @@ def _phrase_score(sentence: Column, phrases: list[tuple[str, int, int]]) -> Colu
 def sentence_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, sentence_id, label, sentence, score, sentiment): the sum of the valences of its words."""
     rows = labeled_sentences(df, text, id)
-    words = rows.withColumn("word", F.explode_outer(F.split(F.lower("sentence"), T.NON_WORD)))
-    scored = (words.join(broadcast_if_small(lexicon.select("word", "valence")), "word", "left")
-              .groupBy(id, "sentence_id", "label", "sentence").agg(F.coalesce(F.sum("valence"), F.lit(0)).alias("score")))
+    words = rows.select(id, "sentence_id", F.explode(F.split(F.lower("sentence"), T.NON_WORD)).alias("word"))
+    sums = (words.join(broadcast_if_small(lexicon.select("word", "valence")), "word")
+            .groupBy(F.col(id).alias("_of"), F.col("sentence_id").alias("_place")).agg(F.sum("valence").alias("_sum")))
+    # the sentence itself is joined once and never rides on its words
+    scored = rows.join(sums, F.col(id).eqNullSafe(F.col("_of")) & (F.col("sentence_id") == F.col("_place")), "left").select(
+        id, "sentence_id", "label", "sentence", F.coalesce("_sum", F.lit(0)).alias("score"))
     phrases = _phrases(lexicon)
     if phrases:
         scored = scored.withColumn("score", F.col("score") + _phrase_score(F.col("sentence"), phrases))

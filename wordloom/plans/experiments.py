@@ -6,7 +6,7 @@ only training rows are resampled.
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wordloom.operators import classifiers, metrics, resample, sampling
 from wordloom.operators.features import Standardizer, TextVectors, WordVectors
@@ -125,11 +125,12 @@ SCORES = "dataset string, model string, feature string, fold int, metric string,
 
 def cross_validate(folded: DataFrame, models: list[str], features: list[str], label: str = "label", id: str = "doc_id",
                    text: str = "text", dataset: str = "corpus", positive: str | None = None,
-                   settings: Settings = Settings(), variants: dict | None = None) -> DataFrame:
+                   settings: Settings = Settings(), variants: dict | None = None, counts: list | None = None) -> DataFrame:
     """Scores of every accepted model and feature on every fold of a `fold` column.
 
     Features are fitted once per fold and feature and shared by the models. `variants` maps a
-    further model name to (model, resampling) to compare resampled training.
+    further model name to (model, resampling) to compare resampled training. `counts` is a list that
+    gets (fold, resampling, class, rows) of every training set.
     """
     spark = folded.sparkSession
     folded = materialize(folded)
@@ -150,6 +151,8 @@ def cross_validate(folded: DataFrame, models: list[str], features: list[str], la
                 if method not in balanced:
                     part = resampled(x_train, method, label, id, seed=own.seed)
                     balanced[method] = part if method is None else materialize(part)
+                    if counts is not None:
+                        counts += [(int(fold), method, r[0], r.n) for r in sampling.class_sizes(balanced[method], label).collect()]
                 found = with_truth(classifiers.predict(model, balanced[method], x_test, label, id), x_test, label, id)
                 rows += _score_rows(found, positive, (dataset, name, feature, int(fold)))
     return spark.createDataFrame(rows, SCORES)
@@ -192,16 +195,13 @@ def smote_audit(folded: DataFrame, label: str = "label", id: str = "doc_id", tex
     variants = models or {"nb_plain": ("nb", None), "nb_smote_multinomial": ("nb", "smote"),
                           "nb_smote_gaussian": ("gaussian_nb", "smote"), "lr_plain": ("lr", None),
                           "lr_smote": ("lr", "smote"), "knn_plain": ("knn", None), "knn_smote": ("knn", "smote")}
-    scores = cross_validate(folded, [], ["tfidf"], label, id, text, "smote_audit", None, settings, variants)
-    # A class's training rows in a fold: all its rows but those of the fold.
-    parts = folded.groupBy(label, F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("n"))
-    folds = parts.agg(F.array_sort(F.collect_set("fold")).alias("folds"))  # k folds
-    train = (parts.groupBy(label).agg(F.sum("n").alias("n"), F.map_from_entries(
-        F.collect_list(F.struct("fold", "n"))).alias("by_fold")).withColumn("fold", F.explode(folds.scalar()))
-        .select("fold", label, (F.col("n") - F.coalesce(F.try_element_at("by_fold", F.col("fold")), F.lit(0)))
-                .alias("n_before")))
-    largest = F.max("n_before").over(W.partitionBy("fold"))
-    counts = train.withColumn("n_after", largest).withColumn("n_synthetic", F.col("n_after") - F.col("n_before"))
+    seen: list[tuple] = []
+    scores = cross_validate(folded, [], ["tfidf"], label, id, text, "smote_audit", None, settings, variants, seen)
+    kind = folded.schema[label].dataType.simpleString()
+    found = folded.sparkSession.createDataFrame(seen, f"fold int, method string, `{label}` {kind}, n bigint")
+    before = found.filter("method IS NULL").select("fold", label, F.col("n").alias("n_before"))
+    after = found.filter("method = 'smote'").select("fold", label, F.col("n").alias("n_after"))
+    counts = before.join(after, ["fold", label]).withColumn("n_synthetic", F.col("n_after") - F.col("n_before"))
     return scores, counts
 
 

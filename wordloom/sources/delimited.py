@@ -1,7 +1,9 @@
 """Delimited text: dialect detection, tolerant reading, clean writing."""
 
 import csv
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -54,7 +56,7 @@ def looks_like_header(first_rows: list[list[str]]) -> bool:
 
 @dataclass
 class Delimited:
-    """What was read and how."""
+    """What was read, the delimiter of most files, whether they had a header, and whether quotes were read literally."""
 
     data: DataFrame
     delimiter: str
@@ -74,13 +76,13 @@ def _opens_quote(value: Column, delimiter: str) -> Column:
     return rest.rlike(f'(^|{d})"')
 
 
-def _misquoted(spark: SparkSession, path: str, quoted: DataFrame, names: list[str]) -> bool:
+def _misquoted(spark: SparkSession, paths: list[str], quoted: DataFrame, names: list[str]) -> bool:
     """Whether reading records over several lines went wrong too.
 
     A stray quote mark leaves an odd number in its file, or a field that begins with the mark, or
     a record of another width.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
     odd = lines.groupBy("file").agg(F.sum(_occurrences(_single(F.col("value")), '"')).alias("n")).filter("n % 2 = 1")
     if odd.limit(1).count():
         return True
@@ -89,44 +91,67 @@ def _misquoted(spark: SparkSession, path: str, quoted: DataFrame, names: list[st
     return quoted.filter(raw | F.col("_broken").isNotNull()).limit(1).count() > 0
 
 
-def read_delimited(spark: SparkSession, path: str) -> Delimited:
-    """Read files of one dialect as strings; rows are never lost to stray quotes.
-
-    Well-quoted single-line records are read in splits. If some line leaves a quote open, whole
-    files are tried with records over several lines; if that goes wrong too, quote marks are read
-    literally.
-    """
-    head = head_lines(spark, path)
-    dialects = sniff_dialect(head).groupBy("delimiter").count().orderBy(F.desc("count"), "delimiter").limit(1).collect()
-    delimiter = dialects[0].delimiter if dialects else ","
-    filled = head.filter(~T.is_blank(F.col("value")))
-    first = filled.orderBy("file", "line_no").limit(2).collect()
-    rows = list(csv.reader([r.value for r in first], delimiter=delimiter))
-    had_header = looks_like_header(rows)
-
-    lines = spark.read.text(path)
-    base = (spark.read.option("sep", delimiter).option("header", str(had_header).lower()).option("mode", "PERMISSIVE")
+def _read_alike(spark: SparkSession, paths: list[str], delimiter: str, header: list[str] | None) -> tuple[DataFrame, bool]:
+    """Rows of files with one delimiter and one header (or none), and whether quote marks were read literally."""
+    lines = spark.read.text(paths)
+    base = (spark.read.option("sep", delimiter).option("header", str(header is not None).lower()).option("mode", "PERMISSIVE")
             .option("enforceSchema", "true").option("maxCharsPerColumn", "-1").option("escape", '"'))
-    if had_header:
-        names = [c.strip() for c in rows[0]]
-    else:
+    names = header
+    if names is None:
         plain = F.regexp_replace(_single(F.col("value")), '"[^"]*+"', "")
         widest = lines.agg(F.max(_occurrences(plain, delimiter)).alias("n")).first()
         names = [f"column_{i + 1}" for i in range((widest.n or 0) + 1)]
     schema = ", ".join(f"`{n}` string" for n in names)
     recovered = False
     if lines.filter(_opens_quote(F.col("value"), delimiter)).limit(1).count() == 0:
-        data = base.schema(schema).csv(path)
+        data = base.schema(schema).csv(paths)
     else:
         whole = base.option("multiLine", "true").option("columnNameOfCorruptRecord", "_broken")
-        quoted = whole.schema(schema + ", `_broken` string").csv(path)
-        recovered = _misquoted(spark, path, quoted, names)
+        quoted = whole.schema(schema + ", `_broken` string").csv(paths)
+        recovered = _misquoted(spark, paths, quoted, names)
         plain_reader = base.option("multiLine", "false").option("quote", "")
-        data = plain_reader.schema(schema).csv(path) if recovered else quoted.drop("_broken")
+        data = plain_reader.schema(schema).csv(paths) if recovered else quoted.drop("_broken")
     filled_row = F.lit(False)
     for n in names:
         filled_row = filled_row | ~T.is_blank(F.col(f"`{n}`"))
-    return Delimited(data.filter(filled_row).na.fill(""), delimiter, had_header, recovered)
+    return data.filter(filled_row), recovered
+
+
+def _as_path(uri: str) -> str:
+    """A file's URI as a path that Spark does not take for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
+def read_delimited(spark: SparkSession, path: str) -> Delimited:
+    """Read delimited files as strings; rows are never lost to stray quotes or to another file's dialect.
+
+    Delimiter and header are judged file by file, and files that agree are read together. A file
+    without a header takes the names of the headed files of the same width, else column_1 and so on;
+    rows are united by column name. Well-quoted single-line records are read in splits. If some line
+    leaves a quote open, whole files are tried with records over several lines; if that goes wrong
+    too, quote marks are read literally. The driver holds two lines of each file.
+    """
+    head = head_lines(spark, path)
+    first = top_per_group(head.filter(~T.is_blank(F.col("value"))), ["file"], [F.col("line_no")], 2)
+    files = first.join(sniff_dialect(head), "file").groupBy("file", "delimiter").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("lines")).collect()
+    firsts = {f.file: (f.delimiter, list(csv.reader([r.value for r in f.lines], delimiter=f.delimiter))) for f in files}
+    names = {f: tuple(c.strip() for c in rows[0]) for f, (_, rows) in firsts.items()}
+    headers = {names[f] for f, (_, rows) in firsts.items() if looks_like_header(rows)}
+    groups: dict[tuple, list[str]] = {}
+    for file in sorted(firsts):  # a file that repeats another one's header has one too, even if it has no more lines
+        group = (firsts[file][0], names[file] if names[file] in headers else None)
+        groups.setdefault(group, []).append(_as_path(file))
+    if not groups:
+        return Delimited(spark.createDataFrame([], "column_1 string"), ",", False, False)
+    by_size = sorted(groups, key=lambda g: (-len(groups[g]), g[0], g[1] or ()))
+    read = {g: _read_alike(spark, groups[g], g[0], list(g[1]) if g[1] else None) for g in by_size}
+    widths = {len(g[1]): g[1] for g in reversed(by_size) if g[1]}
+    parts = [df.toDF(*widths[len(df.columns)]) if g[1] is None and len(df.columns) in widths else df for g, (df, _) in read.items()]
+    data = parts[0]
+    for part in parts[1:]:
+        data = data.unionByName(part, allowMissingColumns=True)
+    return Delimited(data.na.fill(""), by_size[0][0], by_size[0][1] is not None, any(r for _, r in read.values()))
 
 
 def write_clean_csv(df: DataFrame, path: str) -> None:
