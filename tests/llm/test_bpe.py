@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,13 +21,14 @@ def texts_of_all_kinds():
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_as_the_library(name):
     coder, library = bpe.FragmentCoder(f"{TOKENIZERS}/{name}"), Tokenizer.from_file(f"{TOKENIZERS}/{name}")
+    reader = bpe.TokenReader(f"{TOKENIZERS}/{name}")
     given = texts_of_all_kinds()
     for at in range(0, len(given), 64):
         for text, ids in zip(given[at:at + 64], coder.encode_all(given[at:at + 64])):
             wanted = library.encode(text or "", add_special_tokens=False).ids
-            found = memoryview(ids).cast("i").tolist()
-            assert found == wanted
-            assert coder.decode(found) == library.decode(wanted, skip_special_tokens=False)
+            found = np.frombuffer(ids, "<i4")
+            assert found.tolist() == wanted
+            assert reader.decode(found) == library.decode(wanted, skip_special_tokens=False)
 
 
 def test_cuts_are_forced_by_the_vocabulary():
@@ -56,3 +58,10 @@ def test_frame(texts, spark):
     assert bpe.decode(bpe.encode(none, WORD_BPE), WORD_BPE).count() == 0
     nulls = encoded.withColumn("ids", F.lit(None).cast("array<int>"))
     assert {r.decoded for r in bpe.decode(nulls, WORD_BPE).collect()} == {""}
+
+
+def test_unknown_ids_are_left_out():
+    library, reader = Tokenizer.from_file(WORD_BPE), bpe.TokenReader(WORD_BPE)
+    for ids in ([], [3306, 999_999, 1002], [-1, 5], [49407, 49408]):
+        known = [i for i in ids if 0 <= i < 49408]
+        assert reader.decode(np.array(ids, np.int32)) == library.decode(known, skip_special_tokens=False)

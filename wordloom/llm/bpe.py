@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 from tokenizers import Tokenizer
@@ -86,8 +87,6 @@ class FragmentCoder:
         words = [w.removesuffix(suffix) if suffix else w for w in model["vocab"]]
         self.pairs = {w[i:i + 2] for w in words for i in range(len(w) - 1)}
         self.drops_space = not self.tokenizer.encode(" \t\n\x0b\f\r", add_special_tokens=False).ids
-        self.tokens = {v: k for k, v in model["vocab"].items()} | {v: k for k, v in self.special.items()}
-        self.joins_by_space = config.get("decoder") is None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.pieces = _Pieces(self)
@@ -162,10 +161,35 @@ class FragmentCoder:
                 del self.known[part]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        if self.joins_by_space:
-            return " ".join([self.tokens[i] for i in ids if i in self.tokens])
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+
+class TokenReader:
+    """Texts of token ids, as the tokenizers library decodes them."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        tokens = {v: k for k, v in config["model"]["vocab"].items()}
+        tokens |= {t["id"]: t["content"] for t in config.get("added_tokens") or []}
+        self.names = np.full(max(tokens) + 2, None, object)  # the last one stands for unknown ids
+        for i, token in tokens.items():
+            self.names[i] = token
+        # without a decoder the library puts a space between tokens and leaves unknown ids out
+        self.tokenizer = None if config.get("decoder") is None else Tokenizer.from_file(path)
+
+    def decode(self, ids: np.ndarray) -> str:
+        if self.tokenizer:
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        found = self.names[np.where((ids >= 0) & (ids < len(self.names)), ids, -1)].tolist()
+        try:
+            return " ".join(found)
+        except TypeError:
+            return " ".join([t for t in found if t is not None])
+
+    def decode_all(self, lists: pa.ListArray) -> list[str]:
+        ids = pc.fill_null(lists.values, -1).to_numpy()
+        offsets = lists.offsets.to_numpy()
+        return [self.decode(ids[a:b]) if there else ""
+                for a, b, there in zip(offsets, offsets[1:], lists.is_valid().to_pylist())]
 
 
 def _list_of_ids(parts: list[bytes]) -> pa.ListArray:
@@ -197,9 +221,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", name: str = "decoded
     schema = T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = FragmentCoder(path)
+        reader = TokenReader(path)
         for batch in slices(batches, 256):
-            texts = [coder.decode(x or []) for x in batch.column(ids).to_pylist()]
+            texts = reader.decode_all(batch.column(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
     return encoded.mapInArrow(run, schema)
