@@ -212,3 +212,13 @@ def test_smote_audit_without_imbalance(corpus):
     scores, counts_ = ex.smote_audit(folded, settings=ex.Settings(min_df=1), models=variants)
     assert counts_.filter("n_synthetic <> 0").count() == 0
     assert ex.audit_effects(scores).first().resampling_effect == 0.0
+
+
+def test_knn_on_equal_vectors(spark):
+    """Ties go to the least ids, and equal vectors are compared once."""
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.when(F.col("id") < 3, 0.0).otherwise(2.0)).alias("features"))
+    found = knn_join(df, df, 4, exclude_self=True).collect()
+    by = {}
+    for r in sorted(found, key=lambda r: (r.doc_id, r.rank)):
+        by.setdefault(r.doc_id, []).append(r.neighbor_id)
+    assert by[0] == [1, 2, 3, 4] and by[2] == [0, 1, 3, 4] and by[3] == [4, 5, 6, 7] and by[599] == [3, 4, 5, 6]

@@ -11,6 +11,7 @@ from wordloom.constants import LENGTH_BUCKETS
 from wordloom.functions import text as T
 from wordloom.functions.rows import explode_rows
 from wordloom.operators.ranking import explode_range, rank_by_frequency, top_per_group
+from wordloom.plans.storage import materialize
 
 
 def _words(df: DataFrame, text: str, include_stopwords: bool, max_chars: int | None,
@@ -79,7 +80,7 @@ def frequency_bands(freqs: DataFrame) -> DataFrame:
 def zipf(df: DataFrame, text: str = "text", include_stopwords: bool = True,
          max_rank: int | None = None) -> DataFrame:
     """(rank, word, freq) by falling frequency."""
-    freqs = word_frequency(df, text, include_stopwords, top_n=max_rank)
+    freqs = materialize(word_frequency(df, text, include_stopwords, top_n=max_rank))  # ranking reads it three times
     return rank_by_frequency(freqs).select("rank", "word", F.col("frequency").alias("freq"))
 
 
