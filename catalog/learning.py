@@ -52,7 +52,7 @@ def _naive_bayes(spark, sf):
     return cl.naive_bayes_predict(model, ft.tf_features(test, vocabulary, max_n=1), test)
 
 
-def _report(model, settings=FAST, pick=_docs):
+def _report(model, settings=ex.Settings(), pick=_docs):
     """Weighted scores of one model on the held-out rows."""
     def run(spark, sf):
         return mt.classification_report(ex.train_and_predict(pick(spark, sf), model, settings))
@@ -86,7 +86,7 @@ def _baseline(spark, sf) -> DataFrame:
 
 def _word_vectors(spark, sf) -> DataFrame:
     docs = _docs(spark, sf)
-    vectors = ft.WordVectors(20, epochs=1, partitions=8).fit(docs).transform(docs)
+    vectors = ft.WordVectors().fit(docs).transform(docs)
     return vectors.select("doc_id", F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x), 6)
                           .alias("square_length"))
 
@@ -147,7 +147,7 @@ QUERIES = {
     "word2vec_doc_vectors": _word_vectors,
     "standardize": lambda s, d: ft.vector_long(ft.standardize(_vectors(s, d)), "vec_id").withColumn(
         "value", F.round("value", 6)),
-    "preprocess": lambda s, d: ex.preprocess(_docs(s, d), ex.Settings(max_features=2000, resampling="oversample")),
+    "preprocess": lambda s, d: ex.preprocess(_docs(s, d), ex.Settings(resampling="oversample")),
     "stratified_sample": lambda s, d: sp.stratified_sample(_docs(s, d), 25).select("doc_id", "label"),
     "train_test_split": lambda s, d: sp.train_test_split(_docs(s, d)).select("doc_id", "label", "split"),
     "train_test_split_plain": lambda s, d: sp.train_test_split(_flags(s, d), None).select("doc_id", "split"),

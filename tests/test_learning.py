@@ -222,3 +222,26 @@ def test_knn_on_equal_vectors(spark):
     for r in sorted(found, key=lambda r: (r.doc_id, r.rank)):
         by.setdefault(r.doc_id, []).append(r.neighbor_id)
     assert by[0] == [1, 2, 3, 4] and by[2] == [0, 1, 3, 4] and by[3] == [4, 5, 6, 7] and by[599] == [3, 4, 5, 6]
+
+
+def test_settings_reach_the_pipeline(spark, imbalanced):
+    lemmas = spark.createDataFrame([("goal", "match")], "token string, lemma string")
+    half = ex.preprocess(imbalanced, ex.Settings(max_n=1, min_df=1, percent=50.0, resampling="smote", neighbors=2), lemmas=lemmas)
+    rows = half.collect()
+    assert {r.params for r in rows} == {'{"seed": 42, "k": 2}'} and all(r.applied for r in rows)
+    words = imbalanced.selectExpr("explode(split(text, ' ')) AS w").distinct().count()
+    assert {r.vocab_size for r in rows} == {(words - 1) // 2}  # "goal" became "match"
+    assert len({r.n_after for r in rows}) == 1
+    with pytest.raises(ValueError, match="label on every row"):
+        smote(spark.createDataFrame([(1, None, [1.0]), (2, "a", [2.0])], "doc_id bigint, label string, features array<double>"))
+
+
+def test_cross_validate_multilabel(multilabel):
+    names = ["sport", "money", "space", "food"]
+    folded = sp.multilabel_kfold(multilabel, names, 2)
+    scores = ex.cross_validate_multilabel(folded, ["nb"], ["tf"], names, settings=ex.Settings(max_n=1, min_df=1)).collect()
+    found = {(r.model, r.fold, r.metric): r.value for r in scores}
+    metrics = {m for _, _, m in found}
+    assert {(m, f) for m, f, _ in found} == {("baseline", 0), ("baseline", 1), ("nb", 0), ("nb", 1)}
+    assert len(found) == 4 * len(metrics) and all(0 <= v <= 1 for v in found.values())
+    assert all(found["nb", f, "hamming_loss"] < found["baseline", f, "hamming_loss"] for f in (0, 1))

@@ -79,12 +79,12 @@ class TextVectors:
     """TF or TF-IDF vectors for MLlib, fitted on training rows.
 
     The vocabulary of a vector space sits in driver memory, as in every MLlib vectorizer, so it is
-    bounded by `max_features`.
+    bounded by `max_features`, or by `percent` of the number of distinct words (ten at least).
     """
 
     def __init__(self, tfidf: bool = True, max_n: int = 2, min_df: int = 2, max_features: int = 10_000,
-                 text: str = "text", column: str = "features"):
-        self.tfidf, self.max_n, self.min_df = tfidf, max_n, min_df
+                 text: str = "text", column: str = "features", percent: float | None = None):
+        self.tfidf, self.max_n, self.min_df, self.percent = tfidf, max_n, min_df, percent
         self.max_features, self.text, self.column = max_features, text, column
 
     def _terms(self, df: DataFrame) -> DataFrame:
@@ -93,7 +93,11 @@ class TextVectors:
 
     def fit(self, train: DataFrame) -> "TextVectors":
         terms = self._terms(train)
-        self.counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=self.max_features,
+        size = self.max_features
+        if self.percent is not None:
+            words = explode_rows(train, T.word_terms(F.col(self.text)), "w").select("w").distinct().count()
+            size = max(10, int(words * self.percent / 100))
+        self.counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=size,
                                        minDF=float(self.min_df)).fit(terms)
         if self.tfidf:
             fitted = IDF(inputCol="_tf", outputCol="_idf").fit(self.counter.transform(terms))

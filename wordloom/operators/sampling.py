@@ -107,13 +107,13 @@ def random_undersample(df: DataFrame, label: str = "label", id: str = "doc_id",
 
 def resampling_report(before: DataFrame, after: DataFrame, method: str, label: str = "label") -> DataFrame:
     """Class counts before and after; `no_op` marks a method that changed nothing."""
-    old = class_sizes(before, label).withColumnRenamed("n", "n_before")
-    new = class_sizes(after, label).withColumnRenamed("n", "n_after")
+    old = class_sizes(before, label).select(label, F.col("n").alias("n_before"), F.lit(0).alias("n_after"))
+    new = class_sizes(after, label).select(label, F.lit(0).alias("n_before"), F.col("n").alias("n_after"))
+    sizes = old.union(new).groupBy(label).agg(F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after"))
     whole = W.partitionBy()  # one row per class
     total = F.sum(F.col("n_after") - F.col("n_before")).over(whole)
-    return (old.join(new, label, "full").na.fill(0, ["n_before", "n_after"])
-            .select(label, "n_before", "n_after", total.alias("n_synthetic"), (total == 0).alias("no_op"),
-                    F.lit(method).alias("method")))
+    return (sizes.select(label, "n_before", "n_after", total.alias("n_synthetic"), (total == 0).alias("no_op"),
+                         F.lit(method).alias("method")))
 
 
 def leakage_check(split: DataFrame, id: str = "doc_id", text: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ The order prevents leakage: rows are split first, features are fitted on trainin
 only training rows are resampled.
 """
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -28,6 +29,8 @@ class Settings:
     resampling: str | None = None
     seed: int = 42
     epochs: int = 10
+    percent: float | None = None  # of the distinct words, in place of max_features
+    neighbors: int = 5  # of SMOTE
 
 
 DEFAULT = Settings(max_n=1, min_df=1, max_features=1000)
@@ -52,7 +55,7 @@ class Preprocessor:
             self.scaler = Standardizer().fit(self.vectors.transform(docs))
         else:
             self.vectors = TextVectors(self.s.feature == "tfidf", self.s.max_n, self.s.min_df, self.s.max_features,
-                                       self.text).fit(docs)
+                                       self.text, percent=self.s.percent).fit(docs)
             self.scaler = None
         return self
 
@@ -62,13 +65,13 @@ class Preprocessor:
 
 
 def resampled(train: DataFrame, method: str | None, label: str, id: str, vector: str = "features",
-              seed: int = 42) -> DataFrame:
-    """Balanced training rows (id, label, vector)."""
+              seed: int = 42, k: int = 5) -> DataFrame:
+    """Balanced training rows (id, label, vector); `k` neighbours for SMOTE."""
     rows = train.select(id, label, vector)
     if method is None:
         return rows
     if method == "smote":
-        return resample.smote(rows, label, id, vector, seed=seed).select(id, label, vector)
+        return resample.smote(rows, label, id, vector, k, seed).select(id, label, vector)
     if method == "oversample":
         return sampling.random_oversample(rows, label, id, seed).drop("copy")
     if method == "undersample":
@@ -77,32 +80,35 @@ def resampled(train: DataFrame, method: str | None, label: str, id: str, vector:
 
 
 def preprocess(df: DataFrame, settings: Settings, label: str = "label", id: str = "doc_id",
-               text: str = "text") -> DataFrame:
-    """Summary rows (label, n_before, n_after, n_synthetic, no_op, method, vocab_size, n_features)."""
-    fitted = Preprocessor(settings, text, id).fit(df)
+               text: str = "text", lemmas: DataFrame | None = None) -> DataFrame:
+    """Summary rows (label, n_before, n_after, n_synthetic, no_op, method, applied, params, vocab_size, n_features)."""
+    fitted = Preprocessor(settings, text, id, lemmas).fit(df)
     before = materialize(fitted.transform(df).select(id, label, "features"))
-    after = resampled(before, settings.resampling, label, id, seed=settings.seed)
+    after = resampled(before, settings.resampling, label, id, seed=settings.seed, k=settings.neighbors)
     size = fitted.vectors.vocabulary_size
     width = settings.vector_size if settings.feature == "word2vec" else size
     report = sampling.resampling_report(before, after, settings.resampling or "none", label)
-    return report.withColumns({"vocab_size": F.lit(size).cast("bigint"), "n_features": F.lit(width).cast("bigint")})
+    params = {"seed": settings.seed} | ({"k": settings.neighbors} if settings.resampling == "smote" else {})
+    return report.withColumns({"applied": F.lit(settings.resampling is not None) & ~F.col("no_op"),
+                               "params": F.lit(json.dumps(params)), "vocab_size": F.lit(size).cast("bigint"), "n_features": F.lit(width).cast("bigint")})
 
 
 def train_and_predict(df: DataFrame, model: str, settings: Settings = DEFAULT, label: str = "label",
-                      id: str = "doc_id", text: str = "text", test_size: float = 0.3) -> DataFrame:
+                      id: str = "doc_id", text: str = "text", test_size: float = 0.3,
+                      lemmas: DataFrame | None = None) -> DataFrame:
     """(id, y_true, y_pred, probability) for the held-out rows of a stratified split."""
     classifiers.check_model_features(model, settings.feature)
     split = materialize(sampling.train_test_split(df, label, id, test_size, settings.seed))
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    return fit_predict(train, test, model, settings, label, id, text)
+    return fit_predict(train, test, model, settings, label, id, text, lemmas)
 
 
 def fit_predict(train: DataFrame, test: DataFrame, model: str, settings: Settings, label: str = "label",
-                id: str = "doc_id", text: str = "text") -> DataFrame:
-    fitted = Preprocessor(settings, text, id).fit(train)
+                id: str = "doc_id", text: str = "text", lemmas: DataFrame | None = None) -> DataFrame:
+    fitted = Preprocessor(settings, text, id, lemmas).fit(train)
     x_train = materialize(fitted.transform(train).select(id, label, "features"))
     x_test = materialize(fitted.transform(test).select(id, label, "features"))
-    x_train = resampled(x_train, settings.resampling, label, id, seed=settings.seed)
+    x_train = resampled(x_train, settings.resampling, label, id, seed=settings.seed, k=settings.neighbors)
     return with_truth(classifiers.predict(model, x_train, x_test, label, id), x_test, label, id)
 
 
@@ -125,7 +131,8 @@ SCORES = "dataset string, model string, feature string, fold int, metric string,
 
 def cross_validate(folded: DataFrame, models: list[str], features: list[str], label: str = "label", id: str = "doc_id",
                    text: str = "text", dataset: str = "corpus", positive: str | None = None,
-                   settings: Settings = Settings(), variants: dict | None = None, counts: list | None = None) -> DataFrame:
+                   settings: Settings = Settings(), variants: dict | None = None, counts: list | None = None,
+                   lemmas: DataFrame | None = None) -> DataFrame:
     """Scores of every accepted model and feature on every fold of a `fold` column.
 
     Features are fitted once per fold and feature and shared by the models. `variants` maps a
@@ -143,13 +150,13 @@ def cross_validate(folded: DataFrame, models: list[str], features: list[str], la
             if not plans:
                 continue
             own = Settings(**{**settings.__dict__, "feature": feature})
-            fitted = Preprocessor(own, text, id).fit(train)
+            fitted = Preprocessor(own, text, id, lemmas).fit(train)
             x_train = materialize(fitted.transform(train).select(id, label, "features"))
             x_test = materialize(fitted.transform(test).select(id, label, "features"))
             balanced = {}
             for name, (model, method) in plans.items():
                 if method not in balanced:
-                    part = resampled(x_train, method, label, id, seed=own.seed)
+                    part = resampled(x_train, method, label, id, seed=own.seed, k=own.neighbors)
                     balanced[method] = part if method is None else materialize(part)
                     if counts is not None:
                         counts += [(int(fold), method, r[0], r.n) for r in sampling.class_sizes(balanced[method], label).collect()]
@@ -160,7 +167,7 @@ def cross_validate(folded: DataFrame, models: list[str], features: list[str], la
 
 def cross_validate_multilabel(folded: DataFrame, models: list[str], features: list[str], label_columns: list[str],
                               id: str = "doc_id", text: str = "text", dataset: str = "corpus",
-                              settings: Settings = Settings()) -> DataFrame:
+                              settings: Settings = Settings(), lemmas: DataFrame | None = None) -> DataFrame:
     """Multi-label scores per fold, with the constant baseline."""
     spark = folded.sparkSession
     folded = materialize(folded)
@@ -176,7 +183,7 @@ def cross_validate_multilabel(folded: DataFrame, models: list[str], features: li
         add(classifiers.constant_baseline(train, test, label_columns, id), "baseline", "-", fold)
         for feature in features:
             own = Settings(**{**settings.__dict__, "feature": feature})
-            fitted = Preprocessor(own, text, id).fit(train)
+            fitted = Preprocessor(own, text, id, lemmas).fit(train)
             x_train = materialize(fitted.transform(train).select(id, "features", *label_columns))
             x_test = materialize(fitted.transform(test).select(id, "features", *label_columns))
             for model in models:
