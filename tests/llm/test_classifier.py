@@ -23,7 +23,8 @@ def test_bounded_sample_judges_alike(spark):
 
 
 def test_shape():
-    assert [classifier.shape(w) for w in ("Hello", "HELLO!!", "über-9x", "a.b@c", "1,234")] == ["Aa", "A!!", "a-0a", "a.a@a", "0,0"]
+    given = ("Hello", "HELLO!!", "über-9x", "a.b@c", "1,234")
+    assert [classifier.shape(w.encode()).decode() for w in given] == ["Aa", "A!!", "a-0a", "a.a@a", "0,0"]
 
 
 def test_nulls_repeats_long_and_empty(texts, spark):

@@ -1,5 +1,6 @@
 """Quality classifier: weak labels by expectation-maximisation train a hashed linear scorer."""
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,51 +26,55 @@ LABELLERS = {
     "stops": ("n_words >= 20 AND (20 * n_stops > 7 * n_words OR 200 * n_stops < n_words)",
               "50 * n_stops >= n_words AND 4 * n_stops <= n_words"),
 }
+_SYMBOLS = b"#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_shouted", "n_old_pairs", "n_echoes", "n_lines", "n_dup_lines", "n_stops"]
 FIT_DOCS = 8_000  # labelled documents the scorer is fitted on; the labels come from all documents
 DIMENSIONS = 1 << 15
 _EXTRA = 4  # dimensions before the hashed ones: constant, old pairs, echoes, repeated lines
-_SYMBOLS, _STOPS, _SHOUTED = (re.compile(p) for p in (rb"[#*$%&|<>]", rb"[.!?]+", rb"[A-Z]{3}"))
-_SHAPES = [(re.compile(r"[^\W\d_a-zà-öø-ÿ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0")]
+_STOPS, _SHOUTED = re.compile(rb"[.!?]+"), re.compile(rb"[A-Z]{3}")
+_SIGNS = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b
+               for b in range(256))
+_RUNS = re.compile(rb"([aA0])\1+")
 
 
-def _counts(text: str | None) -> tuple[list[bytes], list[int]]:
-    """The words, and the measures in order."""
-    words = split_words(text)
+def _repeats(text: str | None, words: list[bytes]) -> tuple[int, int, int, int]:
+    """(n_old_pairs, n_echoes, n_lines, n_dup_lines): pairs of words seen before, words that repeat the one before, lines."""
     lines = [line for line in (text or "").split("\n") if line.encode().split()]
-    raw = (text or "").encode()
-    return words, [len(words), sum(len(w.decode()) for w in words), len(_SYMBOLS.findall(raw)), len(_SHOUTED.findall(raw)),
-                   max(0, len(words) - 1) - len(set(zip(words, words[1:]))), sum(map(bytes.__eq__, words, words[1:])),
-                   len(lines), len(lines) - len(set(lines)), len(_STOPS.findall(raw))]
+    return (max(0, len(words) - 1) - len(set(zip(words, words[1:]))), sum(map(bytes.__eq__, words, words[1:])),
+            len(lines), len(lines) - len(set(lines)))
+
 
+def _counts(text: str | None) -> list[int]:
+    """The measures, in order."""
+    words, raw, text = split_words(text), (text or "").encode(), text or ""
+    pairs, echoes, lines, dup_lines = _repeats(text, words)
+    return [len(words), len(text) - sum(map(text.count, " \t\n\x0b\f\r")), sum(map(raw.count, _SYMBOLS)), len(_SHOUTED.findall(raw)),
+            pairs, echoes, lines, dup_lines, len(_STOPS.findall(raw))]
 
-def shape(word: str) -> str:
+
+def shape(word: bytes) -> bytes:
     """Runs of capitals, of other letters and of digits become A, a and 0; the rest stays."""
-    for pattern, sign in _SHAPES:
-        word = pattern.sub(sign, word)
-    return word
+    return _RUNS.sub(rb"\1", word.translate(_SIGNS))
 
 
-class _Columns(dict):
-    """The two hashed dimensions of a word, its lower-case form and its shape; remembered while a task runs."""
+def _columns(word: bytes) -> tuple[int, int]:
+    """The two hashed dimensions of a word: its lower-case form and its shape."""
+    digest, size = xxhash.xxh32_intdigest, DIMENSIONS - _EXTRA
+    return _EXTRA + digest(word.lower(), 1) % size, _EXTRA + digest(shape(word), 2) % size
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        text = word.decode()
-        pair = tuple(_EXTRA + xxhash.xxh32_intdigest(t) % (DIMENSIONS - _EXTRA) for t in ("w" + text.lower(), "s" + shape(text)))
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = pair
-        return pair
 
+def _extra(text: str | None, words: list[bytes]) -> list[float]:
+    """A constant, and the shares of repeated pairs, echoes and lines."""
+    pairs, echoes, lines, dup_lines = _repeats(text, words)
+    n = max(1, len(words))
+    return [1.0, 4 * pairs / n, 4 * echoes / n, 4 * dup_lines / max(1, lines)]
 
-def _features(words: list[bytes], counts: list[int], columns: _Columns) -> tuple[np.ndarray, np.ndarray]:
-    """(dimension, value): shares of the words, and of repeated pairs, echoes and lines."""
-    n, m = max(1, len(words)), dict(zip(MEASURES, counts))
-    extra = [1.0, 4 * m["n_old_pairs"] / n, 4 * m["n_echoes"] / n, 4 * m["n_dup_lines"] / max(1, m["n_lines"])]
-    hashed = np.array([columns[w] for w in words], np.int64).reshape(-1, 2)
-    at, times = np.unique(hashed, return_counts=True)
-    return np.concatenate([np.arange(_EXTRA), at]), np.concatenate([extra, 4 * times / n])
+
+def _features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, value): the shares above, and those of the words."""
+    words = split_words(text)
+    at, times = np.unique(np.array(list(map(_columns, words)), np.int64), return_counts=True)
+    return np.concatenate([np.arange(_EXTRA), at]), np.concatenate([_extra(text, words), 4 * times / max(1, len(words))])
 
 
 def measure(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -80,7 +85,7 @@ def measure(docs: DataFrame, id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = np.array([_counts(t)[1] for t in batch.column(2).to_pylist()], np.int64)
+            rows = np.array([_counts(t) for t in batch.column(2).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, rows.T)], schema.names)
 
     return docs.select(id, F.xxhash64(text).alias("_row"), text).mapInArrow(run, schema)
@@ -105,11 +110,10 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rou
 def _fitted(sample: DataFrame, id: str, text: str) -> np.ndarray | None:
     """The weights, from a bounded number of labelled texts, fitted in one task; None without any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, rows = _Columns(), []
+        rows = []
         for batch in slices(batches):
             for key, t, q in zip(*(c.to_pylist() for c in batch.columns)):
-                words, counts = _counts(t)
-                at, value = _features(words, counts, columns)
+                at, value = _features(t)
                 rows.append((key, xxhash.xxh64_intdigest(t or ""), at, value.astype(np.float32), q))
         if rows:
             rows.sort(key=lambda r: r[:2])
@@ -122,13 +126,13 @@ def _fitted(sample: DataFrame, id: str, text: str) -> np.ndarray | None:
 
 
 class _Weights(dict):
-    """The sum of a word's two weights."""
+    """The sum of a word's two weights, remembered while a task runs."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.columns = weights.tolist(), _Columns()
+        self.weights = weights.tolist()
 
     def __missing__(self, word: bytes) -> float:
-        a, b = self.columns.__missing__(word)
+        a, b = _columns(word)
         if len(self) >= KNOWN_WORDS:
             self.clear()
         value = self.weights[a] + self.weights[b]
@@ -143,15 +147,13 @@ def score(docs: DataFrame, weights: np.ndarray | None, text: str, name: str = "p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Weights(weights if weights is not None else np.zeros(DIMENSIONS))
-        known.columns.clear()
         for batch in slices(batches):
             out = []
             for t in batch.column(text).to_pylist():
-                words, counts = _counts(t)
-                n, m = max(1, len(words)), dict(zip(MEASURES, counts))
-                extra = np.array([1.0, 4 * m["n_old_pairs"] / n, 4 * m["n_echoes"] / n, 4 * m["n_dup_lines"] / max(1, m["n_lines"])])
-                total = float(extra @ np.array(known.weights[:_EXTRA])) + 4 * sum(map(known.__getitem__, words)) / n
-                out.append(float(1 / (1 + np.exp(-np.clip(total, -30, 30)))) if words else 0.0)
+                words = split_words(t)
+                total = sum(x * w for x, w in zip(_extra(t, words), known.weights))
+                total += 4 * sum(map(known.__getitem__, words)) / max(1, len(words))
+                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))) if words else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], schema.names)
 
     return docs.mapInArrow(run, schema)
