@@ -241,6 +241,13 @@ picks AS (SELECT lang, {_random_sql(42, 'lang', 'i')} % n + 1 AS p FROM draws),
 placed AS (SELECT doc_id, lang, {_ROW} AS p FROM documents)"""
 
 ORACLES = {
+    "preprocess": f"""WITH {_counts_sql('documents', 2)}, stats AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+    sizes AS (SELECT lang AS label, count(*) AS n_before FROM documents GROUP BY ALL),
+    after AS (SELECT *, max(n_before) OVER () AS n_after FROM sizes),
+    grown AS (SELECT *, CAST(sum(n_after - n_before) OVER () AS BIGINT) AS n_synthetic FROM after),
+    kept AS (SELECT least(10000, count(*)) AS v FROM stats WHERE df >= 2)
+    SELECT grown.*, n_synthetic = 0 AS no_op, 'oversample' AS method, n_synthetic > 0 AS applied, '{{"seed": 42}}' AS params,
+      v AS vocab_size, v AS n_features FROM grown, kept""",
     "check_model_features": """SELECT model, feature, NOT ((model = 'nb' AND feature = 'word2vec') OR (model = 'gda' AND feature <> 'word2vec'))
         AS accepted, (SELECT count(DISTINCT lang) FROM documents) AS classes FROM (VALUES ('nb'), ('gda'), ('lr'), ('svm'), ('knn')) m(model),
         (VALUES ('tf'), ('tfidf'), ('word2vec')) f(feature)""",
