@@ -1,7 +1,6 @@
 """Quality rules by weak supervision, in DataFrame expressions only."""
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -110,19 +109,19 @@ def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict[str, f
     Counts are smoothed by one vote each way, so no rate reaches 0 or 1.
     """
     patterns, _ = written(voted.groupBy(*[f"vote_{name}" for name in names]).agg(F.count("*").alias("n")), "votes")
-    patterns = patterns.coalesce(1)
+    cast = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"vote_{name}").alias("vote")) for name in names])
     model = _start(names)
     for _ in range(rounds):
-        weights = {"on_good": F.col("n") * F.col("_q"), "on_bad": F.col("n") * (1 - F.col("_q"))}
-        sums = [((F.lit(1.0) + F.sum(weights["on_good"])) / (F.lit(2.0) + F.sum("n"))).alias("prior")]
-        for key in [k for k in model if k != "prior"]:
-            kind, vote, name = re.fullmatch("(on_good|on_bad)_(bad|abstain|good)_(.*)", key).groups()
-            mine = F.sum(F.when(F.col(f"vote_{name}") == VOTES[vote], weights[kind]).otherwise(0.0))
-            sums.append(((F.lit(1.0) + mine) / (F.lit(3.0) + F.sum(weights[kind]))).alias(key))
-        found = patterns.withColumn("_q", posterior(model, names)).agg(*sums).first().asDict()
-        if found["prior"] is None:  # no documents
+        judged = patterns.coalesce(1).select("n", posterior(model, names).alias("q"), F.explode(cast).alias("cast"))
+        sums = judged.groupBy("cast.rule", "cast.vote").agg(
+            F.sum(F.col("n") * F.col("q")).alias("on_good"), F.sum(F.col("n") * (1 - F.col("q"))).alias("on_bad")).collect()
+        if not sums:  # no documents
             break
-        model = found
+        found = {(r.rule, r.vote): r for r in sums}
+        whole = {kind: sum(r[kind] for r in sums if r.rule == names[0]) for kind in ("on_good", "on_bad")}
+        model = {"prior": (1 + whole["on_good"]) / (2 + whole["on_good"] + whole["on_bad"])} | {
+            f"{kind}_{vote}_{name}": (1 + (found[name, i][kind] if (name, i) in found else 0.0)) / (3 + whole[kind])
+            for name in names for kind in whole for vote, i in VOTES.items()}
     return model
 
 
