@@ -150,7 +150,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     begin = F.greatest(F.col("block") * block, "offset")
     pieces = packed.select("_key", "block", id, "_row", (begin - F.col("offset")).alias("start"),
                            (F.least((F.col("block") + 1) * block, end) - begin).alias("words"))
-    slots = _slots(targets, block, shards, seed, most)
+    # Spark takes the slots for as small as the source table that they are made from, and would broadcast them
+    slots = _slots(targets, block, shards, seed, most).hint("merge")
     spans = slots.join(pieces, ["_key", "block"]).select(id, "_row", "shard", "slot", "epoch", "start", "words")
     return rows, spans
 
