@@ -83,7 +83,7 @@ class FragmentCoder:
         suffix = model.get("end_of_word_suffix")
         plain = {k: v for k, v in model.items() if k in ("unk_token", "fuse_unk", "byte_fallback") and v}
         self.inner = BPE(model["vocab"], merges, **plain)
-        self.last = BPE(model["vocab"], merges, end_of_word_suffix=suffix, **plain) if suffix else self.inner
+        self.last = self.tokenizer.model if suffix else self.inner
         words = [w.removesuffix(suffix) if suffix else w for w in model["vocab"]]
         self.pairs = {w[i:i + 2] for w in words for i in range(len(w) - 1)}
         self.drops_space = not self.tokenizer.encode(" \t\n\x0b\f\r", add_special_tokens=False).ids

@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
-KNOWN_WORDS = 1 << 19  # entries of a task's memo; it starts afresh when full, results do not depend on it
+KNOWN_WORDS = 1 << 18  # entries of a task's memo; it starts afresh when full, results do not depend on it
 
 
 def split_words(text: str | None) -> list[bytes]:
