@@ -1,0 +1,75 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from wordloom.llm import similar, simhash
+
+
+def slow_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_kept(data):
+    """The least (id, text) of each group that pairs of similarity 0.8 connect."""
+    rows = sorted({(i, t) for i, t in data if i is not None}, key=lambda r: (r[0], r[1] or ""))
+    sets = [slow_shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if (9 * both >= 4 * (len(sets[a]) + len(sets[b]))) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    return sorted({min(rows[i] for i in range(len(rows)) if group[i] == g)[0] for g in group})
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for _ in range(changes):
+        out[rng.randrange(len(out))] = f"new{rng.random()}"
+    return out
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for _ in range(12):  # chains: each copy is edited again, so that ends are far from each other
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([30, 80, 200]))]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = edited(rng, words, rng.choice([0, 1, 1, 2, 3]))
+    texts += [" ".join(passage + [rng.choice(vocabulary) for _ in range(rng.choice([5, 15, 40]))]) for _ in range(40)]
+    texts += [" ".join(edited(rng, passage * 2, 1)) for _ in range(40)]
+    texts += ["one", "ONE", "one two", "a b c d e", "a b c d e f"]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_groups_equal_brute_force_jaccard(texts, corpus):
+    kept = similar.keep_one(texts(corpus))
+    assert sorted(r.doc_id for r in kept.collect()) == slow_kept(corpus)
+    assert "source" in kept.columns
+
+
+def test_stage_drops_copies_whose_fingerprints_differ_widely(rows, spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    data = [(0, " ".join(base))] + [(i, " ".join(edited(rng, base, 2))) for i in range(1, 8)]
+    first = simhash.fingerprint(data[0][1])
+    assert max((simhash.fingerprint(t) ^ first).bit_count() for _, t in data) > 2
+    docs = rows([(i, t, "en", "s", len(t)) for i, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [0]
+
+
+def test_rows_that_repeat_an_id(texts):
+    kept = similar.keep_one(texts([(1, "a b c"), (2, "A b c"), (2, "x y z"), (2, "x y z"), (3, None), (4, ""), (None, "a b c")]))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "a b c"), (1, "a b c"), (2, "x y z"), (3, "")]
+
+
+def test_empty_table(spark):
+    assert similar.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
