@@ -121,3 +121,15 @@ def test_each_file_has_its_own_dialect(spark, tmp_path):
 def test_no_files_with_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     assert delimited.read_delimited(spark, str(tmp_path)).data.count() == 0
+
+
+def test_headers_do_not_depend_on_other_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n7,one\n8,two\n")
+    (tmp_path / "b.csv").write_text("sku,price\nx,3\n")
+    (tmp_path / "c.csv").write_text("1,2\n3,4\n")
+    (tmp_path / "d.csv").write_text("sku,price\n")
+    got = delimited.read_delimited(spark, str(tmp_path)).data
+    assert set(got.columns) == {"id", "name", "sku", "price", "column_1", "column_2"}
+    assert sorted((r.id, r.name, r.sku, r.price, r.column_1, r.column_2) for r in got.collect()) == [
+        ("", "", "", "", "1", "2"), ("", "", "", "", "3", "4"), ("", "", "x", "3", "", ""),
+        ("7", "one", "", "", "", ""), ("8", "two", "", "", "", "")]

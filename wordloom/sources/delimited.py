@@ -2,7 +2,6 @@
 
 import csv
 import re
-from collections import Counter
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -126,8 +125,9 @@ def _as_path(uri: str) -> str:
 def read_delimited(spark: SparkSession, path: str) -> Delimited:
     """Read delimited files as strings; rows are never lost to stray quotes or to another file's dialect.
 
-    Delimiter and header are judged file by file, and files that agree are read together. Where only
-    some files of a delimiter look headed, a header must stand in half of them. A file without a header takes the names of the headed files of the same width, else column_1 and so on;
+    Delimiter and header are judged file by file, by a file's own first two rows; a file of one line
+    has a header if it repeats that of another file. Files that agree are read together. A file
+    without a header takes the names of the headed files of the same width if these agree, else column_1 and so on;
     rows are united by column name. Well-quoted single-line records are read in splits. If some line
     leaves a quote open, whole files are tried with records over several lines; if that goes wrong
     too, quote marks are read literally. The driver holds two lines of each file.
@@ -139,21 +139,18 @@ def read_delimited(spark: SparkSession, path: str) -> Delimited:
     firsts = {f.file: (f.delimiter, list(csv.reader([r.value for r in f.lines], delimiter=f.delimiter))) for f in files}
     names = {f: tuple(c.strip() for c in rows[0]) for f, (_, rows) in firsts.items()}
     looks = {f for f, (_, rows) in firsts.items() if looks_like_header(rows)}
-    headers = set()
-    for delimiter in {d for d, _ in firsts.values()}:
-        alike = [f for f, (d, _) in firsts.items() if d == delimiter]
-        times = Counter(names[f] for f in alike)
-        all_look = all(f in looks for f in alike if len(firsts[f][1]) > 1)
-        headers |= {names[f] for f in alike if f in looks and (all_look or 2 * times[names[f]] >= len(alike))}
+    headers = {(firsts[f][0], names[f]) for f in looks}
     groups: dict[tuple, list[str]] = {}
     for file in sorted(firsts):  # a file that repeats another one's header has one too, even if it has no more lines
-        group = (firsts[file][0], names[file] if names[file] in headers else None)
+        own = (firsts[file][0], names[file])
+        group = own if own in headers else (own[0], None)
         groups.setdefault(group, []).append(_as_path(file))
     if not groups:
         return Delimited(spark.createDataFrame([], "column_1 string"), ",", False, False)
     by_size = sorted(groups, key=lambda g: (-len(groups[g]), g[0], g[1] or ()))
     read = {g: _read_alike(spark, groups[g], g[0], list(g[1]) if g[1] else None) for g in by_size}
-    widths = {len(g[1]): g[1] for g in reversed(by_size) if g[1]}
+    known = {g[1] for g in groups if g[1]}
+    widths = {len(h): h for h in known if sum(len(o) == len(h) for o in known) == 1}
     parts = [df.toDF(*widths[len(df.columns)]) if g[1] is None and len(df.columns) in widths else df for g, (df, _) in read.items()]
     data = parts[0]
     for part in parts[1:]:
