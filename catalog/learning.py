@@ -10,7 +10,7 @@ from wordloom.operators.resample import smote, smote_neighbors
 from wordloom.plans import experiments as ex
 from wordloom.plans.storage import materialize
 
-FAST = ex.Settings(max_features=2000)
+FEATURES = ["tfidf", "tf", "word2vec"]
 
 
 def _docs(spark, sf) -> DataFrame:
@@ -74,7 +74,7 @@ def _flags(spark, sf) -> DataFrame:
 def _relevance(spark, sf) -> DataFrame:
     split = materialize(sp.train_test_split(_flags(spark, sf), None))
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    prepared = ex.Preprocessor(FAST).fit(train)
+    prepared = ex.Preprocessor(ex.Settings()).fit(train)
     return mt.multilabel_metrics(cl.binary_relevance("lr", prepared.transform(train), prepared.transform(test),
                                                      ["quality", "toxic"]))
 
@@ -106,13 +106,12 @@ def _resampling_report(method):
 
 
 def _cross_validate(spark, sf):
-    folded = sp.stratified_kfold(_docs(spark, sf), 2)
-    return ex.cross_validate(folded, ["nb", "lr", "knn"], ["tf", "tfidf"], dataset="documents", settings=FAST)
+    return ex.cross_validate(sp.stratified_kfold(_docs(spark, sf)), list(cl.MODEL_FEATURES), FEATURES, dataset="documents")
 
 
 def _cross_validate_multilabel(spark, sf):
-    folded = sp.multilabel_kfold(_flags(spark, sf), ["quality", "toxic"], 2)
-    return ex.cross_validate_multilabel(folded, ["nb", "lr"], ["tfidf"], ["quality", "toxic"], dataset="labels", settings=FAST)
+    folded = sp.multilabel_kfold(_flags(spark, sf), ["quality", "toxic"])
+    return ex.cross_validate_multilabel(folded, list(cl.MODEL_FEATURES), FEATURES, ["quality", "toxic"], dataset="labels")
 
 
 def _accepted(spark, sf) -> DataFrame:
@@ -131,9 +130,7 @@ def _accepted(spark, sf) -> DataFrame:
 
 def _audit(spark, sf):
     rows = labelled(spark, sf).select("doc_id", "text", F.col("quality").cast("string").alias("label"))
-    folded = materialize(sp.stratified_kfold(rows, 2))
-    variants = {"nb_plain": ("nb", None), "nb_smote_multinomial": ("nb", "smote"), "nb_smote_gaussian": ("gaussian_nb", "smote")}
-    scores, counts = ex.smote_audit(folded, settings=ex.Settings(max_features=500), models=variants)
+    scores, counts = ex.smote_audit(materialize(sp.stratified_kfold(rows)))
     effects = ex.audit_effects(scores)
     return counts.groupBy().agg(F.sum("n_synthetic").alias("n_synthetic")).withColumns(
         {c: effects.select(c).scalar() for c in ("resampling_effect", "classifier_effect")})

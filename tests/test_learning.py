@@ -245,3 +245,32 @@ def test_cross_validate_multilabel(multilabel):
     assert {(m, f) for m, f, _ in found} == {("baseline", 0), ("baseline", 1), ("nb", 0), ("nb", 1)}
     assert len(found) == 4 * len(metrics) and all(0 <= v <= 1 for v in found.values())
     assert all(found["nb", f, "hamming_loss"] < found["baseline", f, "hamming_loss"] for f in (0, 1))
+
+
+def test_registered_validations_do_the_whole_job(spark, monkeypatch):
+    """Ten folds, the default settings, all accepted models, features and variants."""
+    from catalog import learning
+    from conftest import SF
+
+    seen = {}
+
+    def whole(name, result):
+        def run(folded, *args, **settings):
+            seen[name] = (sorted(r.fold for r in folded.select("fold").distinct().collect()), args, settings)
+            return result
+        return run
+
+    none = spark.createDataFrame([], ex.SCORES)
+    counts = spark.createDataFrame([], "n_synthetic bigint")
+    monkeypatch.setattr(ex, "cross_validate", whole("single", none))
+    monkeypatch.setattr(ex, "cross_validate_multilabel", whole("multi", none))
+    monkeypatch.setattr(ex, "smote_audit", whole("audit", (none, counts)))
+    for query in ("cross_validate", "cross_validate_multilabel", "smote_audit"):
+        learning.QUERIES[query](spark, SF)
+    assert all(folds == list(range(10)) and not {"settings", "models", "variants"} & set(given) for folds, _, given in seen.values())
+    assert all(set(seen[n][1][0]) == set(cl.MODEL_FEATURES) and set(seen[n][1][1]) == {"tf", "tfidf", "word2vec"} for n in ("single", "multi"))
+    fitted = []
+    monkeypatch.setattr(ex, "Preprocessor", lambda settings: fitted.append(settings) or (_ for _ in ()).throw(KeyError))
+    with pytest.raises(KeyError):
+        learning.QUERIES["binary_relevance"](spark, SF)
+    assert fitted == [ex.Settings()]
