@@ -18,7 +18,7 @@ def _entities(spark, sf):
 
 
 def _phrases(spark, sf):
-    return gazetteer(spark, sf).filter("phrase LIKE '% %' AND entity_type = 'ORGANIZATION'")
+    return gazetteer(spark, sf).filter("phrase LIKE '% %'")
 
 
 def _topics(spark, sf):

@@ -341,3 +341,31 @@ def test_ranges_are_made_by_many_tasks(spark):
     one = spark.createDataFrame([(0,)], "x bigint").coalesce(1)
     df = explode_range(one, F.lit(1), F.lit(1_000_000), "i", spread=True)
     assert df.groupBy(F.spark_partition_id()).count().count() > 1 and df.agg(F.sum("i")).first()[0] == 500_000_500_000
+
+
+def test_any_number_of_phrases_is_joined_like_by_expressions(spark):
+    import random
+    import re
+
+    from wordloom.operators import entities as en
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)] + ["AT&T", "Inc.", "(x", "é"]
+    phrases = sorted({" ".join(rng.choice(words) for _ in range(rng.choice([2, 2, 3, 4]))) for _ in range(2500)})
+    texts = [" ".join(rng.choice(words).upper() if rng.random() < .2 else rng.choice(words) for _ in range(40)) + rng.choice(["", "."]) for _ in range(20)]
+    wanted = []
+    for t in texts:
+        for p in sorted(phrases, key=lambda p: (-len(p), p)):
+            t = re.sub(rf"(?i)(?<![A-Za-z0-9_]){re.escape(p)}(?![A-Za-z0-9_])", lambda m: re.sub(r"\s+", "_", p), t)
+        wanted.append(t)
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id int, text string")
+    got = en.join_entities(df, spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    assert {r.doc_id: r.text for r in got.collect()} == dict([*enumerate(wanted), (99, None)])
+
+
+def test_any_number_of_phrases_has_a_valence(spark):
+    from wordloom.operators.sentiment import sentence_sentiment
+
+    lexicon = spark.createDataFrame([("good", 2), ("not good", -3), *[(f"x{i} y{i}", 1) for i in range(600)]], "word string, valence int")
+    df = spark.createDataFrame([(1, "Not good not good"), (2, "x5 y5 x599 Y599 x5 y6"), (3, None)], "doc_id int, text string")
+    assert {r.doc_id: r.score for r in sentence_sentiment(df, lexicon).collect()} == {1: -6, 2: 2}

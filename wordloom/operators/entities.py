@@ -4,7 +4,6 @@ A pretrained recognizer is the caller's: `recognize` runs any batch function ove
 built-in matcher joins word n-grams with a gazetteer (phrase, entity_type).
 """
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wordloom.constants import ENTITY_GROUPS, PERSON_NOISE
 from wordloom.functions import text as T
 from wordloom.functions.rows import explode_rows, inline_rows
+from wordloom.operators.phrases import ASCII_WORD, rewritten
 from wordloom.plans.storage import broadcast_if_small
 
 CHUNK_CHARS = 5000
@@ -134,17 +134,24 @@ def entity_type_groups(found: DataFrame) -> DataFrame:
             .groupBy("entity_group", "value").agg(F.count("*").alias("mentions")))
 
 
-def join_entities(df: DataFrame, phrases: DataFrame, text: str = "text", limit: int = 2000) -> DataFrame:
-    """Write multi-word phrases as one `_`-joined token, longest first, whatever their case.
-
-    The phrase list is checked against `limit` before its phrases become patterns.
-    """
-    rows = phrases.filter(F.contains("phrase", F.lit(" "))).select("phrase").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} multi-word phrases")
-    out = F.col(text)
-    for row in sorted(rows, key=lambda r: (-len(r.phrase), r.phrase)):
-        pattern = rf"(?i)(?<![A-Za-z0-9_]){re.escape(row.phrase)}(?![A-Za-z0-9_])"
-        joined = re.sub(r"\s+", "_", row.phrase).replace("\\", "\\\\").replace("$", "\\$")
-        out = F.regexp_replace(out, pattern, joined)
-    return df.withColumn(text, out)
+def _join_longest(parts: list[str], hits: list[tuple[int, dict]]) -> str:
+    """Phrases from the longest to the shortest; what is joined already is a word of its own."""
+    joined = [False] * len(parts)
+    for start, hit in sorted(hits, key=lambda h: (-len(h[1]["key"]), h[1]["key"], h[0])):
+        end = start + len(hit["pieces"])
+        if any(joined[max(0, start - 1):end + 1]):
+            continue
+        for i, piece in enumerate(hit["pieces"]):
+            if piece.isspace():
+                joined[start + i] = True
+                piece = "" if i and hit["pieces"][i - 1].isspace() else "_"
+            parts[start + i] = piece
+    return "".join(parts)
+
+
+def join_entities(df: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
+    """Write multi-word phrases as one `_`-joined token, longest first, whatever their case."""
+    named = phrases.filter(F.contains("phrase", F.lit(" "))).groupBy(F.lower("phrase").alias("low")).agg(F.min("phrase").alias("key")).select("key")
+    new = rewritten(df, named, text, ASCII_WORD, _join_longest, "string")
+    joined = df.join(new, F.md5(df[text]) == new["_key"], "left")
+    return joined.select(*[F.coalesce(new["_out"], df[c]).alias(c) if c == text else df[c] for c in df.columns])

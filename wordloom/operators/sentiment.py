@@ -1,15 +1,13 @@
 """Lexicon sentiment. The lexicon is the caller's: (word, valence), valences from -5 to 5."""
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.functions import text as T
 from wordloom.functions.rows import explode_rows, posexplode_rows
-from wordloom.plans.storage import broadcast_if_small
+from wordloom.operators.phrases import WORD, rewritten
+from wordloom.plans.storage import broadcast_if_small, materialize
 
 _NUMBERED = r"^\[(\d+)\]\s*(.*)"
-_PHRASE_LIMIT = 500
 
 
 def split_sentences(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -31,24 +29,25 @@ def labeled_sentences(df: DataFrame, text: str = "text", id: str = "doc_id") ->
     return posexplode_rows(df, found, "sentence_id", "s", id).select(id, "sentence_id", "s.label", "s.sentence")
 
 
-def _phrases(lexicon: DataFrame) -> list[tuple[str, int, int]]:
-    """Multi-word entries as (phrase, valence, valence already counted for its single words)."""
+def _phrases(lexicon: DataFrame) -> DataFrame:
+    """Multi-word entries as (key, gain): the valence beyond what is counted for the single words."""
     entries = lexicon.filter(F.col("word").rlike(r"[^\p{L}\p{N}_]"))
     parts = entries.select("word", "valence", F.explode_outer(T.keep_words(F.split("word", T.NON_WORD), None))
                            .alias("part"))
     singles = lexicon.select(F.col("word").alias("part"), F.col("valence").alias("single"))
-    rows = (parts.join(singles, "part", "left").groupBy("word", "valence")
-            .agg(F.coalesce(F.sum("single"), F.lit(0)).alias("single")).limit(_PHRASE_LIMIT + 1).collect())
-    if len(rows) > _PHRASE_LIMIT:
-        raise ValueError(f"more than {_PHRASE_LIMIT} multi-word entries in the lexicon")
-    return [(r.word, r.valence, r.single) for r in rows]
-
-
-def _phrase_score(sentence: Column, phrases: list[tuple[str, int, int]]) -> Column:
-    score = F.lit(0)
-    for phrase, valence, single in phrases:
-        pattern = rf"(?<![\p{{L}}\p{{N}}_]){re.escape(phrase)}(?![\p{{L}}\p{{N}}_])"
-        score = score + F.regexp_count(F.lower(sentence), F.lit(pattern)) * (valence - single)
+    rows = parts.join(singles, "part", "left").groupBy("word", "valence").agg(F.coalesce(F.sum("single"), F.lit(0)).alias("single"))
+    return rows.filter(F.col("word") == F.lower("word")).select(
+        F.col("word").alias("key"), (F.col("valence") - F.col("single")).cast("bigint").alias("gain"))
+
+
+def _phrase_score(parts: list[str], hits: list[tuple[int, dict]]) -> int:
+    """Gains of all phrases; two places of one phrase do not overlap."""
+    score, ends = 0, {}
+    for start, hit in sorted(hits, key=lambda h: h[0]):
+        own = (hit["key"], hit["gain"])
+        if start >= ends.get(own, 0):
+            score += hit["gain"]
+            ends[own] = start + len(hit["pieces"])
     return score
 
 
@@ -61,9 +60,11 @@ def sentence_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "text", id
     # the sentence itself is joined once and never rides on its words
     scored = rows.join(sums, F.col(id).eqNullSafe(F.col("_of")) & (F.col("sentence_id") == F.col("_place")), "left").select(
         id, "sentence_id", "label", "sentence", F.coalesce("_sum", F.lit(0)).alias("score"))
-    phrases = _phrases(lexicon)
-    if phrases:
-        scored = scored.withColumn("score", F.col("score") + _phrase_score(F.col("sentence"), phrases))
+    if not lexicon.filter(F.col("word").rlike(r"[^\p{L}\p{N}_]")).isEmpty():
+        scored = materialize(scored)
+        gains = rewritten(scored, _phrases(lexicon), "sentence", WORD, _phrase_score, "bigint")
+        scored = scored.join(gains, F.md5("sentence") == F.col("_key"), "left").withColumn(
+            "score", F.col("score") + F.coalesce("_out", F.lit(0))).drop("_key", "_out")
     mood = F.when(F.col("score") > 0, "Positive").when(F.col("score") < 0, "Negative").otherwise("Neutral")
     return scored.withColumn("score", F.col("score").cast("bigint")).withColumn("sentiment", mood)
 
