@@ -52,7 +52,7 @@ def test_pipeline_stages(spark):
         assert df.columns == docs.columns
     assert [r.doc_id for r in good.join(given, docs.columns, "left_anti").collect()] == []
     groups = simhash.simhash_groups(good).groupBy("component_id").count().count()
-    assert single.count() == groups and single.join(good, docs.columns, "left_anti").count() == 0
+    assert single.count() == single.select("doc_id").distinct().count() == groups and single.join(good, docs.columns, "left_anti").count() == 0
     assert clean.count() == groups
     assert clean.filter(F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[A-Za-z]")).count() == 0
     assert mixed.join(clean, "doc_id", "left_anti").count() == 0

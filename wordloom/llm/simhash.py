@@ -36,17 +36,20 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): the fingerprint of each whole text as a signed 64-bit integer; a null text has no words."""
+    """(id, _row, fp): the fingerprint of each whole text as a signed 64-bit integer; a null text has no words.
+
+    _row is a hash of the text, which tells rows of one id apart.
+    """
     kind = docs.schema[id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
             signed = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], [id, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signed], [id, "_row", "fp"])
 
-    schema = T.StructType([T.StructField(id, kind), T.StructField("fp", T.LongType())])
-    return docs.select(id, text).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(id, kind), T.StructField("_row", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select(id, text, F.xxhash64(text)).mapInArrow(run, schema)
 
 
 def _masks(blocks: int, distance: int) -> list[int]:
@@ -109,17 +112,40 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
     with a null id keep their fingerprint and take the least id that is not null. Repeated rows stay;
     other columns of `docs` are not read. An empty table gives an empty result.
     """
+    return _grouped(docs, id, text, shingle, distance, blocks, seed).select(
+        id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, id: str, text: str, shingle: int = 3, distance: int = 2, blocks: int = 4,
+             seed: int = 42) -> DataFrame:
+    """(id, _row, fp, component_id) of each row."""
     prints, _ = written(fingerprints(docs, id, text, shingle, seed), "fingerprints")
     classes, _ = written(prints.groupBy("fp").agg(F.min(id).alias("node")), "classes")
     merged = components(links(classes.filter("node IS NOT NULL"), distance, blocks), "a", "b")
     roots, _ = written(classes.join(merged, "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component_id")), "roots")
-    return prints.join(roots, "fp").select(
-        id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(roots, "fp").select(id, "_row", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The documents with the least id of their group, all columns kept; rows with a null id stay."""
-    groups = simhash_groups(docs, id, text, **settings)
-    gone = groups.filter(F.col(id) > F.col("component_id")).select(id).distinct()
-    return docs.join(written(gone, "gone")[0], id, "left_anti")
+    """One document of each group, all columns kept: that with the least id; of several texts under that id,
+    the one with the least hash; of equal rows, one.
+
+    Rows with a null id stay, all of them. Empty texts form one group. An empty table stays empty. Columns
+    named like this operator's own keep their values.
+    """
+    groups, _ = written(_grouped(docs, id, text, **settings).filter(F.col(id).isNotNull()), "groups")
+    named = {"_of": F.col(id), "_hash": F.col("_row")}
+    first = groups.filter(F.col(id) == F.col("component_id")).groupBy("component_id").agg(F.min("_row").alias("_hash"))
+    kept = first.select(F.col("component_id").alias("_of"), "_hash", F.lit(True).alias("_kept"))
+    rows = groups.withColumns(named).groupBy("_of", "_hash").agg(F.count("*").alias("_times"))
+    judged, _ = written(rows.join(kept, ["_of", "_hash"], "left"), "judged")
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id).alias("_id"), F.xxhash64(text).alias("_text"))
+    same = (F.col("_id") == F.col("_of")) & (F.col("_text") == F.col("_hash"))
+    stay = whole.join(judged.filter("_kept IS NULL").select("_of", "_hash"), same, "left_anti")
+    again = judged.filter("_kept AND _times > 1").select("_of", "_hash")
+    if not again.limit(1).count():
+        return stay.select("_doc.*")
+    once, _ = written(again, "repeated")
+    repeated = stay.join(once, same, "left_semi").dropDuplicates(["_id", "_text"])
+    return stay.join(once, same, "left_anti").union(repeated).select("_doc.*")
