@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordloom.llm import bpe, classifier, mixing, pii, similar
+from wordloom.llm import bpe, classifier, mixing, pii, simhash
 from wordloom.llm.catalog import WORD_BPE
 from wordloom.plans.storage import written
 
@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
-    return similar.keep_one(docs.select(COLUMNS))
+    """One document of each group whose fingerprints of three-word shingles two or fewer bits link."""
+    return simhash.keep_one(docs.select(COLUMNS), shingle=3, distance=2)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
