@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wordloom.llm import bpe
-from wordloom.llm.catalog import TOKENIZERS, WORD_BPE
+from wordloom.llm.catalog import WORD_BPE
 
 ALPHABET = "aAbéÉzZ'sStTreE 12\n\t\x0b 　日本!?#́ΣσẞİI\x85\x1c\x00😀ſ²Ⅷ_-"
 
@@ -20,8 +21,8 @@ def texts_of_all_kinds():
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_as_the_library(name):
-    coder, library = bpe.FragmentCoder(f"{TOKENIZERS}/{name}"), Tokenizer.from_file(f"{TOKENIZERS}/{name}")
-    reader = bpe.TokenReader(f"{TOKENIZERS}/{name}")
+    coder, library = bpe.FragmentCoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    reader = bpe.TokenReader(public_tokenizers.path(name))
     given = texts_of_all_kinds()
     for at in range(0, len(given), 64):
         for text, ids in zip(given[at:at + 64], coder.encode_all(given[at:at + 64])):

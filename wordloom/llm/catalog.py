@@ -1,14 +1,15 @@
 """The registered queries of this subpackage and their DuckDB twins."""
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordloom.llm import bpe, chat, classifier, embeddings, mixing, pii, rules, simhash, substrings, warc
+from wordloom.llm import (
+    alignment, bpe, chat, classifier, embeddings, mixing, pii, rules, simhash, substrings, topk, variants, warc)
 from wordloom.plans.storage import written
 
-TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,13 +109,37 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
+OP11 = """
+WITH valid AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+  FROM valid q JOIN valid v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10"""
+
+
+def op12_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline  # it builds on this subpackage
 
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op2_chat": op2_chat, "op3_simhash": op3_simhash, "op4_rules": op4_rules, "op5_classifier": op5_classifier, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc,
-           "op9_pii": op9_pii,
-           "op10_substrings": op10_substrings, "pipeline": pipeline}
-ORACLES = {"op1_embeddings": OP1, "op2_chat": OP2, "op4_rules": rules.oracle(), "op8_warc": OP8}
+QUERIES = {
+    "op1_embeddings": op1_embeddings, "op2_chat": op2_chat, "op3_simhash": op3_simhash, "op4_rules": op4_rules,
+    "op5_classifier": op5_classifier, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_pii": op9_pii,
+    "op10_substrings": op10_substrings, "op11_topk": op11_topk, "op12_variants": op12_variants, "op13_alignment": op13_alignment,
+    "pipeline": pipeline}
+ORACLES = {"op1_embeddings": OP1, "op2_chat": OP2, "op4_rules": rules.oracle(), "op8_warc": OP8, "op11_topk": OP11}
