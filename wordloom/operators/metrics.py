@@ -78,15 +78,22 @@ def multilabel_report(predictions: DataFrame) -> DataFrame:
 
 def multilabel_metrics(predictions: DataFrame, id: str = "doc_id") -> DataFrame:
     """One row: Hamming loss, F1 macro and micro, subset accuracy."""
+    return multilabel_metrics_by(predictions, [], id)
+
+
+def multilabel_metrics_by(predictions: DataFrame, keys: list[str], id: str = "doc_id") -> DataFrame:
+    """The same for each combination of `keys`."""
     wrong = (F.col("y_true") != F.col("y_pred")).cast("bigint")
-    labels = predictions.groupBy("label").agg(
+    labels = predictions.groupBy(*keys, "label").agg(
         F.count("*").alias("n"), F.sum(wrong).alias("wrong"), F.sum(F.col("y_true") * F.col("y_pred")).alias("tp"),
         F.sum("y_pred").alias("predicted"), F.sum("y_true").alias("support"))
     f1 = _ratio(2 * F.col("tp"), F.col("predicted") + F.col("support"))
     micro = _ratio(2 * F.sum("tp"), F.sum("predicted") + F.sum("support"))
-    exact = predictions.groupBy(id).agg(F.max(wrong).alias("wrong")).agg(F.avg(1 - F.col("wrong")).alias("a"))
-    return labels.agg(F.round(F.sum("wrong") / F.sum("n"), 6).alias("hamming_loss"), F.round(F.avg(f1), 6).alias("f1_macro"),
-                      F.round(micro, 6).alias("f1_micro")).withColumn("subset_accuracy", F.round(exact.scalar(), 6))
+    exact = predictions.groupBy(*keys, id).agg(F.max(wrong).alias("wrong")).groupBy(*keys).agg(
+        F.round(F.avg(1 - F.col("wrong")), 6).alias("subset_accuracy"))
+    scores = labels.groupBy(*keys).agg(F.round(F.sum("wrong") / F.sum("n"), 6).alias("hamming_loss"), F.round(F.avg(f1), 6).alias("f1_macro"),
+                                       F.round(micro, 6).alias("f1_micro"))
+    return scores.join(exact, keys) if keys else scores.withColumn("subset_accuracy", exact.scalar())
 
 
 def binary_rates(predictions: DataFrame, positive: str = "1") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from wordloom.operators import classifiers, metrics, resample, sampling
 from wordloom.operators.features import Standardizer, TextVectors, WordVectors
 from wordloom.operators.normalize import normalize_corpus
+from wordloom.plans import folds
 from wordloom.plans.storage import materialize
 
 
@@ -117,15 +118,6 @@ def with_truth(predictions: DataFrame, test: DataFrame, label: str, id: str) ->
     return truth.join(predictions.withColumnRenamed("prediction", "y_pred"), id)
 
 
-def _score_rows(predictions: DataFrame, positive: str | None, keys: tuple) -> list[tuple]:
-    """Metric rows of one fold; one aggregate row per metric group reaches the driver."""
-    out = [(*keys, name, float(value)) for name, value in metrics.weighted_scores(predictions).first().asDict().items()]
-    if positive is not None:
-        scored = predictions.withColumn("score", F.coalesce(F.try_element_at("probability", F.lit(positive)), F.lit(0.0)))
-        out.append((*keys, "auc", float(metrics.auc(scored, positive=positive).first()["auc"])))
-    return out
-
-
 SCORES = "dataset string, model string, feature string, fold int, metric string, value double"
 
 
@@ -135,61 +127,61 @@ def cross_validate(folded: DataFrame, models: list[str], features: list[str], la
                    lemmas: DataFrame | None = None) -> DataFrame:
     """Scores of every accepted model and feature on every fold of a `fold` column.
 
-    Features are fitted once per fold and feature and shared by the models. `variants` maps a
-    further model name to (model, resampling) to compare resampled training. `counts` is a list that
-    gets (fold, resampling, class, rows) of every training set.
+    All folds, features and models are trained together: counts of all but the held-out fold come from
+    one table of counts by fold, and each step of logistic regression and SVMs is one pass for all of
+    them. `variants` maps a further model name to (model, None or 'smote'). `counts` is a list that gets
+    (fold, resampling, class, rows) of every training set. `positive` adds the area under the ROC curve
+    of that class of two. Rows with a null label take no part.
     """
     spark = folded.sparkSession
-    folded = materialize(folded)
-    folds = sorted(r.fold for r in folded.select("fold").distinct().collect())  # k folds
-    rows: list[tuple] = []
-    for fold in folds:
-        train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-        for feature in features:
-            plans = {m: (m, None) for m in models if feature in classifiers.MODEL_FEATURES[m]} | (variants or {})
-            if not plans:
-                continue
-            own = Settings(**{**settings.__dict__, "feature": feature})
-            fitted = Preprocessor(own, text, id, lemmas).fit(train)
-            x_train = materialize(fitted.transform(train).select(id, label, "features"))
-            x_test = materialize(fitted.transform(test).select(id, label, "features"))
-            balanced = {}
-            for name, (model, method) in plans.items():
-                if method not in balanced:
-                    part = resampled(x_train, method, label, id, seed=own.seed, k=own.neighbors)
-                    balanced[method] = part if method is None else materialize(part)
-                    if counts is not None:
-                        counts += [(int(fold), method, r[0], r.n) for r in sampling.class_sizes(balanced[method], label).collect()]
-                found = with_truth(classifiers.predict(model, balanced[method], x_test, label, id), x_test, label, id)
-                rows += _score_rows(found, positive, (dataset, name, feature, int(fold)))
-    return spark.createDataFrame(rows, SCORES)
+    plans = {m: (m, None) for m in models if classifiers.MODEL_FEATURES[m].intersection(features)} | (variants or {})
+    if not plans:
+        return spark.createDataFrame([], SCORES)
+    data = folds.Folds(folded, [label], id, text, settings, lemmas)
+    found, rows = data.predictions(plans, classifiers.MODEL_FEATURES, features)
+    scores = [(dataset, name, feature, held, metric, float(value)) for (name, feature, held), values in folds.pair_scores(found).items()
+              for metric, value in values.items()]
+    if positive is not None and positive in data.classes[0]:
+        at = data.classes[0].index(positive)
+        scored = found.filter("y >= 0").withColumns({"y_true": F.col("y").cast("string"), "score": F.col("score") if at == 1 else 1 - F.col("score")})
+        scores += [(dataset, *key, "auc", float(metrics.auc(scored.filter((F.col("name") == key[0]) & (F.col("feature") == key[1]) & (
+            F.col("held") == key[2])), positive=str(at)).first()["auc"])) for key in folds.pair_scores(found)]
+    if counts is not None:
+        sizes = rows.filter("part <> 'test' AND y[0] >= 0").groupBy("feature", "held", "part", F.col("y")[0].alias("y")).count().collect()
+        kind = folded.schema[label].dataType
+        own = {str(r[0]): r[0] for r in folded.select(label).distinct().collect()} if kind.simpleString() != "string" else {}  # classes
+        for method in {m for _, m in plans.values()}:
+            total: dict = {}
+            for r in sizes:
+                if r.feature == features[0] and (method or r.part == "train"):
+                    total[r.held, r.y] = total.get((r.held, r.y), 0) + r["count"]
+            counts += [(held, method, own.get(data.classes[0][y], data.classes[0][y]), n) for (held, y), n in sorted(total.items())]
+    return spark.createDataFrame(sorted(scores), SCORES)
 
 
 def cross_validate_multilabel(folded: DataFrame, models: list[str], features: list[str], label_columns: list[str],
                               id: str = "doc_id", text: str = "text", dataset: str = "corpus",
                               settings: Settings = Settings(), lemmas: DataFrame | None = None) -> DataFrame:
-    """Multi-label scores per fold, with the constant baseline."""
+    """Multi-label scores per fold, with the constant baseline: labels, folds, features and models are trained together."""
     spark = folded.sparkSession
-    folded = materialize(folded)
-    folds = sorted(r.fold for r in folded.select("fold").distinct().collect())  # k folds
-    rows: list[tuple] = []
-
-    def add(found: DataFrame, model: str, feature: str, fold: int) -> None:
-        values = metrics.multilabel_metrics(found, id).first().asDict()
-        rows.extend((dataset, model, feature, int(fold), name, float(value)) for name, value in values.items())
-
-    for fold in folds:
-        train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-        add(classifiers.constant_baseline(train, test, label_columns, id), "baseline", "-", fold)
-        for feature in features:
-            own = Settings(**{**settings.__dict__, "feature": feature})
-            fitted = Preprocessor(own, text, id, lemmas).fit(train)
-            x_train = materialize(fitted.transform(train).select(id, "features", *label_columns))
-            x_test = materialize(fitted.transform(test).select(id, "features", *label_columns))
-            for model in models:
-                if feature in classifiers.MODEL_FEATURES[model]:
-                    add(classifiers.binary_relevance(model, x_train, x_test, label_columns, id), model, feature, fold)
-    return spark.createDataFrame(rows, SCORES)
+    data = folds.Folds(folded, label_columns, id, text, settings, lemmas)
+    plans = {m: (m, None) for m in models if classifiers.MODEL_FEATURES[m].intersection(features)}
+    at = lambda c: F.coalesce(*[F.when((F.col("target") == t) & (F.col(c) >= 0), F.get(F.array(*[F.lit(int(x)) for x in names]), F.col(c)))
+                                for t, names in enumerate(data.classes)])
+    shares = data.docs.select("fold", F.posexplode("y").alias("target", "y")).groupBy("fold", "target").agg(
+        F.count("*").alias("n"), F.sum(at("y")).alias("positive")).collect()  # folds times labels
+    total = {t: (sum(r.n for r in shares if r.target == t), sum(r.positive or 0 for r in shares if r.target == t)) for t in range(len(label_columns))}
+    rules = {(r.fold, r.target): int(2 * (total[r.target][1] - (r.positive or 0)) > total[r.target][0] - r.n) for r in shares}
+    rule = F.element_at(F.create_map(*[F.lit(v) for (f, t), x in rules.items() for v in (f"{f}:{t}", x)]), F.concat_ws(":", "fold", "target"))
+    found = data.docs.select("row", "fold", F.posexplode("y").alias("target", "y")).select(
+        F.lit("-").alias("feature"), F.col("fold").alias("held"), F.lit("baseline").alias("name"), "row", "target", at("y").alias("y_true"), rule.alias("y_pred"))
+    if plans:
+        predicted, _ = data.predictions(plans, classifiers.MODEL_FEATURES, features)
+        found = found.union(predicted.select("feature", "held", "name", "row", "target", at("y").alias("y_true"), at("pred").alias("y_pred")))
+    keys = ["name", "feature", "held"]
+    wide = metrics.multilabel_metrics_by(found.filter("y_true IS NOT NULL").withColumnRenamed("target", "label"), keys, "row").collect()  # models times folds
+    rows = [(dataset, r.name, r.feature, r.held, m, float(r[m])) for r in wide for m in ("hamming_loss", "f1_macro", "f1_micro", "subset_accuracy")]
+    return spark.createDataFrame(sorted(rows), SCORES)
 
 
 def smote_audit(folded: DataFrame, label: str = "label", id: str = "doc_id", text: str = "text",
