@@ -85,3 +85,21 @@ def test_null_id_and_empty(rows):
 def test_least_reachable():
     a, b = np.array([5, 4, 3, 9]), np.array([4, 3, 2, 8])
     assert embeddings.least_reachable(10, a, b).tolist() == [0, 1, 2, 2, 2, 2, 6, 7, 8, 8]
+
+
+def test_search_ends_on_a_threshold_that_a_pair_meets():
+    """The least cosine of an audited pair, to the last bit; and a group far larger than any beam."""
+    import numpy as np
+    from wordloom.llm.embeddings import _units, block_links
+    from wordloom.llm.hnsw import Graph
+
+    rng = np.random.default_rng(4)
+    members = _units(np.concatenate([rng.normal(size=(300, 6)), np.ones((1200, 6)) + 1e-3 * rng.normal(size=(1200, 6))]))
+    queries = members[::40]
+    for threshold in [*(queries[:4] @ members[:40].T).ravel()[3:60:7], 0.98, 0.9999999]:
+        a, b = block_links(Graph(members), members, queries, threshold)
+        exact = np.stack([np.einsum("pd,pd->p", np.broadcast_to(q, members.shape), members) for q in queries])
+        audited = np.unique(np.linspace(0, len(queries) - 1, 32).astype(int))
+        found = set(zip(a.tolist(), b.tolist()))
+        assert found <= set(map(tuple, np.argwhere(exact >= threshold - 1e-15).tolist()))
+        assert {(int(q), int(m)) for q in audited for m in np.flatnonzero(exact[q] >= threshold + 1e-15)} <= found

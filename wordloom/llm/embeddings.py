@@ -13,7 +13,7 @@ from wordloom.plans.storage import written
 SHARD = 8192  # distinct vectors of one graph
 BLOCK = 256  # queries searched together
 AUDIT = 32  # queries of a block that are compared with brute force
-RECALL = 0.99
+_WIDE = 4  # beams of a shard's size over this give way to a comparison with all of it
 _SLACK = 1e-3  # single-precision search looks a little below the threshold; cosines are then verified
 
 
@@ -22,40 +22,45 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+def _verified(queries: np.ndarray, members: np.ndarray, pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """The (query, member) pairs with a cosine of `threshold` or more, by one arithmetic wherever they come from."""
+    cosine = np.concatenate([np.einsum("pd,pd->p", queries[p[:, 0]], members[p[:, 1]])
+                             for p in np.array_split(pairs, len(pairs) // 65536 + 1)])
+    return pairs[cosine >= threshold]
+
+
+def _compared(queries: np.ndarray, members: np.ndarray, which: np.ndarray, threshold: float) -> np.ndarray:
+    """The verified pairs of some queries, each compared with every member."""
+    near = np.argwhere(queries[which] @ members.T >= threshold - _SLACK)
+    return _verified(queries, members, np.stack([which[near[:, 0]], near[:, 1]], axis=1), threshold)
+
+
 def block_links(graph: Graph, members: np.ndarray, queries: np.ndarray, threshold: float,
-                beam: int = 64) -> tuple[np.ndarray, np.ndarray, Graph]:
+                beam: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(query, member) of every pair found with a cosine of `threshold` or more, verified in double precision.
 
     A query whose whole beam lies above the threshold may have more neighbours: its beam doubles until
-    it does not. Then some queries are compared with brute force; if too few of their pairs were found,
-    the block is searched again with twice the beam, and with a beam as wide as the shard in a graph
-    of twice the degree.
+    it does not. Then some queries are compared with brute force; if one of their pairs is missing, the
+    block is searched again with twice the beam. Where a beam would be a quarter of the shard or more,
+    comparing with all members is cheaper than a search and takes its place, so the search ends.
     """
-    n = len(members)
+    n, first = len(members), beam
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    wanted = np.argwhere(queries[audit] @ members.T >= threshold)
-    wanted = set(zip(audit[wanted[:, 0]].tolist(), wanted[:, 1].tolist()))
-    beam = min(beam, n)
+    wanted = set(map(tuple, _compared(queries, members, audit, threshold).tolist()))
     while True:
-        found, todo, width = [], np.arange(len(queries)), beam
-        while len(todo):
-            ids, sims = graph.search(queries[todo], width)
+        found, todo, width = [np.zeros((0, 2), np.int64)], np.arange(len(queries)), beam
+        while len(todo) and (width == first or _WIDE * width < n):
+            ids, sims = graph.search(queries[todo], min(width, n))
             near = (sims >= threshold - _SLACK) & (ids >= 0)
             full = near.all(axis=1) & (width < n)
             at, col = np.nonzero(near & ~full[:, None])
             found.append(np.stack([todo[at], ids[at, col].astype(np.int64)], axis=1))
-            todo, width = todo[full], min(2 * width, n)
-        pairs = np.concatenate(found)
-        cosine = np.concatenate([np.einsum("pd,pd->p", queries[p[:, 0]], members[p[:, 1]])
-                                 for p in np.array_split(pairs, len(pairs) // 65536 + 1)])
-        pairs = pairs[cosine >= threshold]
-        got = set(map(tuple, pairs[np.isin(pairs[:, 0], audit)].tolist()))
-        if len(wanted & got) >= RECALL * len(wanted):
-            return pairs[:, 0], pairs[:, 1], graph
-        if beam < n:
-            beam = min(2 * beam, n)
-        else:
-            graph = Graph(members, 2 * graph.degree, beam)
+            todo, width = todo[full], 2 * width
+        pairs = np.concatenate([_verified(queries, members, np.concatenate(found), threshold),
+                                _compared(queries, members, todo, threshold)])
+        if wanted.issubset(map(tuple, pairs[np.isin(pairs[:, 0], audit)].tolist())):
+            return pairs[:, 0], pairs[:, 1]
+        beam *= 2
 
 
 def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,7 +112,7 @@ def _search(shards: DataFrame, threshold: float, beam: int) -> DataFrame:
         graph = _graph(members, layers)
         a, b = [], []
         for start in range(0, len(queries), BLOCK):
-            q, m, graph = block_links(graph, members, queries[start:start + BLOCK], threshold, beam)
+            q, m = block_links(graph, members, queries[start:start + BLOCK], threshold, beam)
             a.append(q + start)
             b.append(m + shift)
         a, b = np.concatenate(a), np.concatenate(b)
