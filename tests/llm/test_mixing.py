@@ -85,3 +85,10 @@ def test_empty(rows):
     assert mixing.words_taken(*mixing.mix(none)).count() == 0
     only = rows([(1, None, "a"), (2, "", None)], "doc_id bigint, text string, source string", 1)
     assert [(r.size, r.taken, r.target) for r in mixing.words_taken(*mixing.mix(only)).collect()] == [(0, 0, 0.0)] * 2
+
+
+def test_small_sources_come_near_their_targets(rows):
+    """Sources of less than a block: the last slot takes a part of one."""
+    docs = rows([(i, " ".join(["word"] * (40 + i)), f"s{i:02d}") for i in range(12)], "doc_id bigint, text string, source string")
+    found = mixing.words_taken(*mixing.mix(docs)).collect()
+    assert len(found) == 12 and all(abs(r.taken - r.target) <= 1 and r.taken <= 3 * r.size for r in found)

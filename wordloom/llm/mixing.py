@@ -83,9 +83,10 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 
 def _slots(targets: DataFrame, block: int, shards: int, seed: int, most: float) -> DataFrame:
-    """(_key, shard, slot, epoch, block): the blocks that each output shard takes.
+    """(_key, shard, slot, epoch, block, most): the blocks that each output shard takes, and how many words of each at most.
 
-    A source's number of slots follows its target; how many of them a shard gets is a multinomial draw.
+    A source's number of slots follows its target, its last slot takes the part of a block that is still
+    missing; how many of them a shard gets is a multinomial draw.
     The k-th slot of a source takes the k-th block of a pseudorandom permutation of its blocks, and a
     new permutation begins when all are taken.
     """
@@ -94,7 +95,9 @@ def _slots(targets: DataFrame, block: int, shards: int, seed: int, most: float)
             for key, size, target in zip(*(batch.column(c).to_pylist() for c in ("_key", "source_size", "target"))):
                 if size:
                     blocks = -(-size // block)
-                    total = min(round(target * blocks / size), int(most) * blocks)
+                    exact = min(target * blocks / size, most * blocks)
+                    part = exact - math.floor(exact)
+                    total = math.floor(exact) + (part * min(size, block) >= 0.5)
                     source = int.from_bytes(key.encode(), "little") % (1 << 61)
                     counts = np.random.default_rng([seed, source]).multinomial(total, np.full(shards, 1 / shards))
                     starts = np.cumsum(counts) - counts
@@ -106,23 +109,30 @@ def _slots(targets: DataFrame, block: int, shards: int, seed: int, most: float)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([key] * n), pa.array([blocks] * n, pa.int64()), pa.array(shard, pa.int32()),
                              pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-                             pa.array([int(x) for x in starts[shard]], pa.int64())],
-                            ["_key", "blocks", "shard", "low", "high", "first"])
+                             pa.array([int(x) for x in starts[shard]], pa.int64()),
+                             pa.array([size] * n, pa.int64()), pa.array([part if total > exact else 1.0] * n),
+                             pa.array([total - 1] * n, pa.int64())],
+                            ["_key", "blocks", "shard", "low", "high", "first", "size", "part", "last"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            key, blocks, shard, low, high, first = (batch.column(i)[0].as_py() for i in range(6))
+            key, blocks, shard, low, high, first, size, part, last = (batch.column(i)[0].as_py() for i in range(9))
             k = np.arange(low, high)
             epoch, n = k // blocks, np.full(len(k), blocks)
             base = np.uint64(int.from_bytes(key.encode(), "little") % (1 << 61) ^ seed)
             at = permuted(k % blocks, n, base + epoch.astype(np.uint64))
+            full = np.minimum(block, size - at * block)
+            words = np.where(k == last, np.rint(part * full), full).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key] * len(k)), pa.array([shard] * len(k), pa.int32()), pa.array(k - first),
-                 pa.array(epoch.astype(np.int32)), pa.array(at)], ["_key", "shard", "slot", "epoch", "block"])
+                 pa.array(epoch.astype(np.int32)), pa.array(at), pa.array(words)], ["_key", "shard", "slot", "epoch", "block", "most"])
 
-    drawn = targets.mapInArrow(draw, "_key string, blocks bigint, shard int, low bigint, high bigint, first bigint")
-    return drawn.repartition("_key", "shard", "low").mapInArrow(
-        place, "_key string, shard int, slot bigint, epoch int, block bigint")
+    drawn = targets.mapInArrow(draw, "_key string, blocks bigint, shard int, low bigint, high bigint, first bigint, "
+                                     "size bigint, part double, last bigint")
+    words = targets.agg(F.sum("target")).first()[0] or 0  # a task makes about a million slots
+    tasks = max(targets.sparkSession.sparkContext.defaultParallelism, math.ceil(words / block / (1 << 20)))
+    return drawn.repartition(tasks, "_key", "shard", "low").mapInArrow(
+        place, "_key string, shard int, slot bigint, epoch int, block bigint, most bigint")
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS,
@@ -149,11 +159,12 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
         "block", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((end - 1) / block))))
     begin = F.greatest(F.col("block") * block, "offset")
     pieces = packed.select("_key", "block", id, "_row", (begin - F.col("offset")).alias("start"),
-                           (F.least((F.col("block") + 1) * block, end) - begin).alias("words"))
+                           (F.least((F.col("block") + 1) * block, end) - begin).alias("words"), (begin - F.col("block") * block).alias("_at"))
     # Spark takes the slots for as small as the source table that they are made from, and would broadcast them
     slots = _slots(targets, block, shards, seed, most).hint("merge")
-    spans = slots.join(pieces, ["_key", "block"]).select(id, "_row", "shard", "slot", "epoch", "start", "words")
-    return rows, spans
+    spans = slots.join(pieces, ["_key", "block"]).select(
+        id, "_row", "shard", "slot", "epoch", "start", F.least("words", F.col("most") - F.col("_at")).alias("words"))
+    return rows, spans.filter("words > 0")
 
 
 def words_taken(rows: DataFrame, spans: DataFrame, id: str = "doc_id") -> DataFrame:
