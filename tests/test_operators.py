@@ -1,5 +1,9 @@
 """Small tables with literal results, edge cases, and independence from partitioning."""
 
+import itertools
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,7 +348,6 @@ def test_ranges_are_made_by_many_tasks(spark):
 
 
 def test_any_number_of_phrases_is_joined_like_by_expressions(spark):
-    import random
     import re
 
     from wordloom.operators import entities as en
@@ -369,3 +372,16 @@ def test_any_number_of_phrases_has_a_valence(spark):
     lexicon = spark.createDataFrame([("good", 2), ("not good", -3), *[(f"x{i} y{i}", 1) for i in range(600)]], "word string, valence int")
     df = spark.createDataFrame([(1, "Not good not good"), (2, "x5 y5 x599 Y599 x5 y6"), (3, None)], "doc_id int, text string")
     assert {r.doc_id: r.score for r in sentence_sentiment(df, lexicon).collect()} == {1: -6, 2: 2}
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_tiles_hold_any_vocabulary(spark, tile):
+    """Every pair of words of every document, counted by hand."""
+    rng = random.Random(tile)
+    texts = [" ".join(rng.choices([f"word{i:02d}" for i in range(20)], k=rng.randrange(0, 12))) for _ in range(60)] + [""]
+    wanted = Counter(p for t in texts for p in itertools.combinations(sorted(set(t.split())), 2))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id bigint, text string").repartition(5)
+    vocabulary = spark.createDataFrame([(f"word{i:02d}",) for i in range(20)], "word string")
+    assert {(r.source, r.target): r.value for r in co.tiled_edges(df, vocabulary, tile=tile).collect()} == wanted
+    if tile == 1024:
+        assert {(r.source, r.target): r.value for r in co.cooccurrence(df, top_n=5000).collect()} == wanted

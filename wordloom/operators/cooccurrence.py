@@ -7,15 +7,16 @@ of a single document is ever a row.
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wordloom.constants import MAX_TOP_N, STOPWORDS
 from wordloom.functions import text as T
 from wordloom.functions.rows import explode_rows
 from wordloom.operators.ranking import top_per_group
-from wordloom.plans.storage import materialize
+from wordloom.plans.storage import broadcast_if_small, materialize
 
 _BLOCK_ROWS = 1024
+_TILE = 1024  # words of a tile's side
 
 
 def _is_stop():
@@ -69,12 +70,59 @@ def cooccurrence_edges(df: DataFrame, vocabulary: list[str], text: str = "text")
     return counts.select(F.get(names, F.col("a")).alias("source"), F.get(names, F.col("b")).alias("target"), "value")
 
 
+def tiled_edges(df: DataFrame, vocabulary: DataFrame, text: str = "text", tile: int = _TILE) -> DataFrame:
+    """The same edges for a (word) table of any size: the pair matrix is cut into tiles.
+
+    Each document goes to the tiles (row, column) in which it has words, once a tile; a task adds up one
+    tile's block products at a time. Documents of a tile are salted over tasks, so a tile that all
+    documents meet is shared.
+    """
+    names = materialize(vocabulary.select("word", (F.row_number().over(W.orderBy("word")) - 1).alias("i")))  # the vocabulary only
+    salts = df.sparkSession.sparkContext.defaultParallelism
+    docs = materialize(df.select(F.monotonically_increasing_id().alias("doc"), F.array_distinct(T.tokenize_vocab(F.col(text))).alias("words")))
+    known = explode_rows(docs, F.col("words"), "word", "doc").join(broadcast_if_small(names), "word")
+    parts = known.groupBy("doc", F.floor(F.col("i") / tile).alias("t")).agg(F.collect_list("i").alias("at"))
+    sides = parts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("t", "at"))).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["t"] >= a["t"]), lambda b: F.struct(
+        a["t"].alias("r"), b["t"].alias("c"), a["at"].alias("rows"), b["at"].alias("columns")))))
+    met = sides.select("doc", F.explode(pairs).alias("p")).select("p.*", F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt"))
+    sorted_tiles = met.repartition(salts, "r", "c", "salt").sortWithinPartitions("r", "c")
+
+    def ones(lists: pd.Series, start: int) -> np.ndarray:
+        out = np.zeros((len(lists), tile), np.float32)
+        out[np.repeat(np.arange(len(lists)), lists.map(len)), np.concatenate(lists.to_list()) - start] = 1
+        return out
+
+    def products(batches):
+        now, total = None, None
+
+        def cells():
+            a, b = np.nonzero(total if now[0] < now[1] else np.triu(total, 1))
+            return pd.DataFrame({"a": a + now[0] * tile, "b": b + now[1] * tile, "n": total[a, b].astype("int64")})
+
+        for batch in batches:
+            for (r, c), part in batch.groupby(["r", "c"]):
+                if (r, c) != now:
+                    if now is not None:
+                        yield cells()
+                    now, total = (r, c), np.zeros((tile, tile))
+                for start in range(0, len(part), _BLOCK_ROWS):
+                    block = part.iloc[start:start + _BLOCK_ROWS]
+                    total += ones(block["rows"], r * tile).T @ ones(block["columns"], c * tile)
+        if now is not None:
+            yield cells()
+
+    counts = sorted_tiles.mapInPandas(products, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("value"))
+    named = lambda i, word: broadcast_if_small(names.select(F.col("i").alias(i), F.col("word").alias(word)))
+    return counts.join(named("a", "source"), "a").join(named("b", "target"), "b").select("source", "target", "value")
+
+
 def cooccurrence(df: DataFrame, top_n: int = 100, include_stopwords: bool = True,
                  text: str = "text") -> DataFrame:
-    """All edges among the selected vocabulary, computed once and kept."""
-    if top_n > MAX_TOP_N:  # the pair matrix of a task would not fit into memory
-        raise ValueError(f"co-occurrence takes at most {MAX_TOP_N} words")
+    """All edges among the selected vocabulary, computed once and kept; a large matrix is cut into tiles."""
     chosen = cooccurrence_vocab(df, top_n, include_stopwords, text).select("word")
+    if top_n > MAX_TOP_N:  # one matrix of a task would not fit into memory
+        return materialize(tiled_edges(df, materialize(chosen), text))
     vocabulary = [r.word for r in chosen.collect()]  # at most 6,000 words
     if not vocabulary:
         return df.sparkSession.createDataFrame([], "source string, target string, value bigint")
