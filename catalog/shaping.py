@@ -26,11 +26,11 @@ def _round_trip(spark, sf) -> DataFrame:
 
 
 def _literal_quotes(spark, sf) -> DataFrame:
-    """Tab-separated lines with stray quote marks; a number in each row tells that no file has a header."""
+    """Tab-separated lines with stray quote marks; a cell of over 45 characters in each row tells that no file has a header."""
     path = scratch_path(spark, "tsv")
     flat = F.regexp_replace("text", r'[\r\n\t"]+', " ")
     rows = documents(spark, sf).select(F.concat_ws("\t", F.col("doc_id").cast("string"), "lang", F.concat(
-        F.when(F.col("doc_id") % 5 == 0, '"').otherwise(""), F.lit("x"), F.col("doc_id").cast("string"), flat)).alias("value"))
+        F.when(F.col("doc_id") % 5 == 0, '"').otherwise(""), F.lit("x" * 46), F.col("doc_id").cast("string"), flat)).alias("value"))
     ln.write_text_lines(rows, path)
     return delimited.read_delimited(spark, path).data
 
@@ -159,7 +159,7 @@ ORACLES = {
     "sniff_dialect": """SELECT lang AS file, CASE lang WHEN 'en' THEN chr(9) WHEN 'de' THEN ',' WHEN 'fr' THEN ';' ELSE '|' END
         AS delimiter FROM documents GROUP BY lang""",
     "read_delimited": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents",
-    "read_delimited_literal": r"""SELECT CAST(doc_id AS VARCHAR) AS column_1, lang AS column_2, CASE WHEN doc_id % 5 = 0 THEN '"' ELSE '' END || 'x'
+    "read_delimited_literal": r"""SELECT CAST(doc_id AS VARCHAR) AS column_1, lang AS column_2, CASE WHEN doc_id % 5 = 0 THEN '"' ELSE '' END || repeat('x', 46)
         || doc_id || regexp_replace(text, '[\r\n\t"]+', ' ', 'g') AS column_3 FROM documents""",
     "write_clean_csv": "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang",
     "read_text_lines": f"""SELECT text, count(*) AS n FROM (SELECT {strip_sql('t')} AS text FROM (
