@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from wordloom.llm import substrings
@@ -63,10 +64,47 @@ def test_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_nodes_are_equal_windows():
+def sequences():
     rng = random.Random(2)
-    rows = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 30))).encode() for _ in range(50)]
-    row, node = substrings.deep_nodes(rows, 9)
-    spots = [(r, tuple(t.split()[s:s + 9])) for r, t in enumerate(rows) for s in range(len(t.split()) - 8)]
-    assert [r for r, _ in spots] == row.tolist()
-    assert len(set(zip(node.tolist(), (w for _, w in spots)))) == len(set(node.tolist())) == len({w for _, w in spots})
+    return [np.array([rng.choice([7, 9]) for _ in range(rng.randint(0, 30))], np.uint64) for _ in range(50)]
+
+
+def test_nodes_are_repeats():
+    rows = sequences()
+    tree = substrings.SuffixTree(rows)
+    node, suffix, depths = tree.deep_nodes(9)
+    spots = {}
+    for r, words in enumerate(rows):
+        for s in range(len(words) - 8):
+            spots.setdefault(tuple(words[s:s + 9]), set()).add((r, s))
+    repeats = {w: at for w, at in spots.items() if len(at) > 1}
+    found = {}
+    for n, s in zip(node.tolist(), suffix.tolist()):
+        found.setdefault(n, set()).add((int(tree.row[s]), int(tree.place[s])))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, repeats.values()))
+    for n, at in found.items():  # the depth is as far as all of them agree
+        tails = [tuple(rows[r][s:]) for r, s in at]
+        depth = 0
+        while all(len(x) > depth and x[depth] == tails[0][depth] for x in tails):
+            depth += 1
+        assert depths[n] == depth
+
+
+def test_late_ranges():
+    rows = sequences()
+    ids = np.arange(len(rows)) // 2
+    found = {(r, s + k) for r, s, n in zip(*(x.tolist() for x in substrings.late_ranges(rows, ids, 9))) for k in range(n)}
+    least = {}
+    spots = [(r, s, tuple(w[s:s + 9])) for r, w in enumerate(rows) for s in range(len(w) - 8)]
+    for r, s, w in spots:
+        least[w] = min(least.get(w, 99), ids[r])
+    assert found == {(r, s) for r, s, w in spots if ids[r] > least[w]}
+    assert [len(x) for x in substrings.late_ranges([], np.zeros(0, np.int64), 9)] == [0, 0, 0]
+
+
+def test_span_keys_depend_on_words_alone():
+    rng = random.Random(5)
+    hashes = np.array([rng.getrandbits(64) for _ in range(20)] * 2 + [3], np.uint64)
+    first, length = np.array([2, 22, 3, 2]), np.array([10, 10, 10, 11])
+    a, b, c, d = substrings.span_keys(hashes, first, length).tolist()
+    assert a == b and len({a, c, d}) == 3
