@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -61,7 +62,42 @@ def test_terms_that_reveal_an_entity(texts):
     assert "Quillon" in shown[100] and "Quillon" in shown[101]
     assert [t for t in shown[102] if t.lower() == "quillon"] == ["Quillon", "QUILLON"]
     assert not any(shown[i] for i in range(60)) and not shown[103]
-    assert not any(shown[i] for i in (110, 111, 112))  # one passage, however often copied, is one surrounding
+    assert not any(shown[i] for i in (110, 111, 112))  # one text, however often copied, is one text
+
+
+def test_terms_as_brute_force(texts):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(2)) for _ in range(120)]
+    mails = [f"q{i}@x{i}.yy" for i in range(12)]
+    given = []
+    for i in range(300):
+        words = [vocabulary[min(int(rng.expovariate(0.03)), 119)] for _ in range(rng.randint(1, 40))]
+        if rng.random() < 0.4:
+            e = min(int(rng.expovariate(0.4)), 11)
+            words[rng.randint(0, len(words)):0] = [mails[e]] + [f"owner{'abcdefghijkl'[e]}"] * (rng.random() < 0.8)
+        given.append((i, " ".join(words)))
+    given += [(500 + i, given[7 * i][1]) for i in range(40)] + [(600, None), (601, "")]  # copies weigh nothing
+    private = {t: {m[0].lower() for m in re.finditer(PLAIN["email"], t)} for _, t in given if t}
+    terms = {t: set(re.findall(r"[^\W\d_]{3,}", t.lower())) for t in private}
+    n = math.log(len(terms) + 2)
+    df = lambda which, x: sum(x in v for v in which.values())
+    told = {}
+    for e in set().union(*private.values()):
+        holders = [t for t in private if e in private[t]]
+        own = n - math.log(len(holders))
+        for w in set().union(*(terms[t] for t in holders)):
+            co = sum(w in terms[t] for t in holders)
+            shared = n + math.log(co) - math.log(df(terms, w)) - math.log(len(holders))
+            if co >= 2 and co * own >= n and shared >= 0.8 * own:
+                told.setdefault(e, set()).add(w)
+    assert sum(map(len, told.values())) > 8
+    for r in pii.digest(pii.find_private(texts(given))).collect():
+        text = dict(given)[r.doc_id] or ""
+        want = set().union(*(told.get(e, set()) & terms[text] for e in private.get(text, ())))
+        base = [(a, b) for a, _, b in slow(text)]
+        spans = [m.span() for m in re.finditer(r"[^\W\d_]{3,}", text) if m[0].lower() in want]
+        spans = [f"term:{a}:{b}" for a, b in spans if not any(x < b and a < y for x, y in base)]
+        assert [x for x in r.spans.split(",") if x.startswith("term")] == spans
 
 
 def test_sanitise(texts, spark):

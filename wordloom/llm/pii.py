@@ -15,8 +15,6 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 TERM = r"\p{L}{3,}"
-NEAR = 5  # words on either side of an entity that count as its context
-_REACH = 200  # characters in which those words are looked for
 _CHUNK = 64
 
 
@@ -64,18 +62,15 @@ def _running(sizes: str) -> Column:
 
 
 def with_matches(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
-    """Adds `name`: (start, end, value, left, right) of each leftmost match, in code points; left and right are what is near."""
+    """Adds `name`: (start, end, value) of each leftmost match, in code points."""
     df = df.withColumn("_m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>")))
     gaps = F.zip_with(F.slice("_p", F.lit(1), F.size("_m")), F.col("_m"), lambda p, m: F.char_length(p) + F.char_length(m))
     df = df.withColumn("_gaps", gaps)
     df = df.withColumn("_ends", F.when(F.size("_gaps") > 0, _running("_gaps")).otherwise(F.array().cast("array<int>")))
-    rest = F.slice("_p", F.lit(2), F.size("_m"))
-    zipped = F.arrays_zip(F.col("_m").alias("m"), F.slice("_p", F.lit(1), F.size("_m")).alias("p"), rest.alias("q"), F.col("_ends").alias("e"))
-    df = df.withColumn("_zip", zipped)
+    df = df.withColumn("_zip", F.arrays_zip(F.col("_m").alias("m"), F.col("_ends").alias("e")))
     return df.withColumn(name, F.transform("_zip", lambda z: F.struct(
-        (z["e"] - F.char_length(z["m"])).alias("start"), z["e"].alias("end"), z["m"].alias("value"),
-        F.substring(z["p"], -_REACH, _REACH).alias("left"), F.substring(z["q"], 1, _REACH).alias("right")))).drop(
+        (z["e"] - F.char_length(z["m"])).alias("start"), z["e"].alias("end"), z["m"].alias("value")))).drop(
         "_m", "_p", "_gaps", "_ends", "_zip")
 
 
@@ -92,19 +87,18 @@ def _spans(kind: str) -> Column:
 
 
 def _entities(kind: str) -> Column:
-    return F.transform(f"_{kind}", lambda s: F.struct(
-        F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity"), s["left"].alias("left"), s["right"].alias("right")))
+    return F.transform(f"_{kind}", lambda s: F.xxhash64(F.lit(kind), F.lower(s["value"])))
 
 
 def find_entities(docs: DataFrame, text: str) -> DataFrame:
-    """All columns, `base` (sorted spans of the four kinds) and `entities` (their values and surroundings)."""
+    """All columns, `base` (sorted spans of the four kinds) and `entities` (keys of their distinct values)."""
     found = []
     for kind, pattern in PATTERNS.items():
         docs = with_matches(docs, text, pattern, f"_{kind}")
         docs = docs.withColumn(f"_{kind}", _holding(kind))
         found.append(kind)
     spans = F.sort_array(F.concat(*map(_spans, found)))
-    values = F.concat(*map(_entities, found))
+    values = F.array_distinct(F.concat(*map(_entities, found)))
     counts = {f"n_{k}": F.size(f"_{k}").cast("bigint") for k in found}
     return docs.withColumns({"base": spans, "entities": values, **counts}).drop(*[f"_{k}" for k in found])
 
@@ -114,39 +108,41 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, text: str, threshold: float, support: int) -> DataFrame:
-    """(id, _row, terms): words beside an entity that give away most of its information.
+def _terms(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))
+
 
-    A term's disclosure of an entity is their pointwise mutual information over the entity's own
-    information, log(N co / (df(term) df(entity))) / log(N / df(entity)), with all documents counted;
-    co counts distinct surroundings, so copies of one passage count once. Terms with a disclosure of
-    `threshold` or more in `support` or more surroundings are returned.
+def revealing_terms(docs: DataFrame, found: DataFrame, text: str, threshold: float, support: int) -> DataFrame:
+    """(_row, terms): words of a text that give away most of the information of an entity in it.
+
+    Every word of a text with an entity is a candidate. All counts are of distinct texts, so copies
+    count once: N in all, df(term), df(entity), and co with both. A term's disclosure is their pointwise
+    mutual information over the entity's own information, log(N co / (df(term) df(entity))) /
+    log(N / df(entity)). Terms with a disclosure of `threshold` or more are returned if co is at
+    least `support` and large enough that texts met by chance would not do: (df(entity) / N) ** co is
+    at most 1 / N.
     """
-    one = found.select("id", "_row", F.explode("entities").alias("e")).select("id", "_row", "e.*")
-
-    def words(c: str, last: bool) -> Column:
-        all_words = F.regexp_extract_all(F.lower(F.col(c)), F.lit(TERM), F.lit(0))
-        return F.slice(all_words, F.greatest(F.lit(1), F.size(all_words) - (NEAR - 1)), F.lit(NEAR)) if last else F.slice(all_words, 1, NEAR)
-
-    near = one.withColumns({"_l": words("left", True), "_r": words("right", False)}).withColumn(
-        "place", F.xxhash64("_l", "_r"))
-    near = near.select("id", "_row", "entity", "place", F.explode(F.array_distinct(F.concat("_l", "_r"))).alias("term"))
-    near, _ = written(near, "surroundings")
-    co = near.groupBy("entity", "term", "place").agg(F.lit(1).alias("_")).groupBy("entity", "term").agg(
-        F.count("*").alias("co")).filter(F.col("co") >= support)
-    pairs, _ = written(co, "pairs")
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
-    counted = docs.select(F.explode_outer(terms).alias("key")).groupBy("key").agg(F.count("*").alias("df_term"))
-    wanted = pairs.select(F.xxhash64("term").alias("key")).distinct()
-    df_term, _ = written(counted.join(wanted, "key"), "frequencies")
-    of_entity = found.select("id", "_row", F.explode(F.array_distinct(F.transform("entities", lambda e: e["entity"]))).alias("entity"))
-    df_entity = of_entity.groupBy("entity").agg(F.count("*").alias("df_entity"))
-    n = max(2, docs.count())
-    scored = pairs.withColumn("key", F.xxhash64("term")).join(df_term, "key").join(df_entity, "entity")
-    own = math.log(n) - F.log(F.col("df_entity").cast("double"))
-    shared = math.log(n) + F.log(F.col("co").cast("double")) - F.log("df_term") - F.log("df_entity")
-    told, _ = written(scored.filter((own > 0) & (shared >= threshold * own)).select("entity", "term"), "told")
-    return near.join(told, ["entity", "term"]).groupBy("id", "_row").agg(F.collect_set("term").alias("terms"))
+    plain, _ = written(docs.groupBy("_row").agg(F.first(text).alias(text)), "texts")
+    n = math.log(max(2, plain.count()))
+    keys = F.transform(_terms(text), lambda w: F.xxhash64(w))
+    df_term = plain.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("df_term"))
+    df_term, _ = written(df_term.filter(F.col("df_term") >= support), "frequencies")
+    units, _ = written(found.groupBy("_row").agg(F.first("entities").alias("entities"), F.first(text).alias(text)), "units")
+    of = units.select("_row", F.explode("entities").alias("entity"))
+    df_entity = of.groupBy("entity").agg(F.count("*").alias("df_entity")).filter(F.col("df_entity") >= support)
+    of, _ = written(of.join(df_entity, "entity").withColumn("own", n - F.log("df_entity")).filter("own > 0"), "holders")
+    # a term's disclosure is at most that of co = df(entity): more frequent ones need no counting
+    most = of.groupBy("_row").agg(F.max(n - threshold * F.col("own")).alias("most"))
+    words = units.join(most, "_row").select("_row", "most", F.explode(_terms(text)).alias("term"))
+    words = words.withColumn("key", F.xxhash64("term")).join(df_term, "key").filter(F.log("df_term") <= F.col("most") + 1e-9)
+    words, _ = written(words.select("_row", "term", "df_term"), "words")
+    met = of.join(words, "_row").filter(F.log("df_term") <= n - threshold * F.col("own") + 1e-9)
+    counted = met.groupBy("entity", "term").agg(F.count("*").alias("co"), F.first("df_term").alias("df_term"),
+                                                F.first("df_entity").alias("df_entity"), F.first("own").alias("own"))
+    disclosed = n + F.log("co") - F.log("df_term") - F.log("df_entity")
+    told = counted.filter((F.col("co") >= support) & (F.col("co") * F.col("own") >= n) & (disclosed >= threshold * F.col("own") - 1e-9))
+    told, _ = written(told.select("entity", "term"), "told")
+    return of.join(told, "entity").join(words, ["_row", "term"]).groupBy("_row").agg(F.collect_set("term").alias("terms"))
 
 
 def find_private(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 2) -> DataFrame:
@@ -166,8 +162,7 @@ def find_private(docs: DataFrame, id: str = "doc_id", text: str = "text", thresh
     private = measured.filter("_text IS NOT NULL")
     told, _ = written(revealing_terms(rows, private, "_text", threshold, support), "terms")
     empty = F.array().cast("array<string>")
-    same = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l._row") == F.col("r._row"))
-    termed = private.alias("l").join(told.alias("r"), same, "left").select("l.*", F.coalesce("r.terms", empty).alias("terms"))
+    termed = private.join(told, "_row", "left").withColumn("terms", F.coalesce("terms", empty))
     worded = with_matches(termed.withColumn("_look", F.when(F.size("terms") > 0, F.col("_text")).otherwise("")), "_look", TERM, "_words")
     shown = F.filter("_words", lambda w: F.array_contains("terms", F.lower(w["value"])) & ~F.exists(
         "base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
