@@ -72,3 +72,35 @@ def test_damage_is_an_error():
 def test_reads_by_small_pieces(monkeypatch):
     monkeypatch.setattr(warc, "_READ", 7)
     assert len(list(warc.read_records(io.BytesIO(record() * 5)))) == 5
+
+
+def foreign(kind, block, version="WARC/1.0", **headers):
+    head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:6c2c7a1e-58a4-4a3e-9d6b-2f1f2f9a7b10>", "Content-Length": len(block)}
+    lines = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {**head, **headers}.items())
+    return gzip.compress(f"{version}\r\n{lines}\r\n".encode() + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark):
+    http, body = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n", b"hello"
+    kind = {"Content_Type": "application/http; msgtype=response", "WARC_Target_URI": "http://a"}
+    sha = hashlib.sha1(body).hexdigest()
+    parts = [foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+             foreign("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+             foreign("response", http + body, WARC_Payload_Digest=f"sha1:{sha}", **kind),
+             foreign("response", http + body, WARC_Payload_Digest=f"sha256:{hashlib.sha256(body).hexdigest()}", **kind),
+             foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n", "WARC/1.1",
+                     WARC_Payload_Digest=f"sha1:{sha}", **kind),
+             foreign("response", b"10.0.0.1", Content_Type="text/dns"),
+             foreign("revisit", http, "WARC/1.1", WARC_Payload_Digest=f"sha1:{sha}", WARC_Refers_To="<urn:uuid:other>", **kind),
+             foreign("revisit", b"", WARC_Record_ID="<http://x/1>")]
+    table = spark.createDataFrame([(b"".join(parts),), (None,), (b"",)], "content binary")
+    got = warc.read_archive(table, "content").collect()
+    assert [r.record_type for r in got] == ["response"] * 4 + ["revisit"] * 2
+    assert [bytes(r.payload) if r.payload is not None else None for r in got] == [
+        body, body, b"5\r\nhello\r\n0\r\n\r\n", b"10.0.0.1", None, None]
+    assert [r.payload_bytes for r in got][-2:] == [5, None] and [r.payload_digest for r in got][-2:] == [sha, None]
+    assert got[0].payload_digest == sha and {r.page_id for r in got} == {None} == {r.refers_to for r in got}
+    assert got[4].refers_to_id == "<urn:uuid:other>" and got[5].record_id == "<http://x/1>"
+    bad = foreign("response", http + b"hullo", WARC_Payload_Digest=f"sha1:{sha}", **kind)
+    with pytest.raises(warc.WarcError):
+        warc._page(*next(warc.read_records(io.BytesIO(bad))))

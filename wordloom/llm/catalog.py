@@ -87,7 +87,7 @@ def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
     archives, _ = written(warc.archive(table(spark, sf, "pages")), "warc")
-    return warc.read_archive(archives).drop("url", "payload")
+    return warc.read_archive(archives).drop("url", "payload", "record_id", "refers_to_id")
 
 
 OP8 = """
