@@ -364,6 +364,29 @@ def test_any_number_of_phrases_is_joined_like_by_expressions(spark):
     df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id int, text string")
     got = en.join_entities(df, spark.createDataFrame([(p,) for p in phrases], "phrase string"))
     assert {r.doc_id: r.text for r in got.collect()} == dict([*enumerate(wanted), (99, None)])
+    for limit in (20_000, 700):  # whole, and cut into parts
+        got = en.join_entities(df, spark.createDataFrame([(p,) for p in phrases], "phrase string"), limit=limit)
+        assert {r.doc_id: r.text for r in got.collect()} == dict([*enumerate(wanted), (99, None)])
+
+
+@pytest.mark.parametrize("inline_limit", [10_000, 150, 7])
+def test_entities_equal_a_search_for_every_phrase(spark, inline_limit):
+    """A third of the phrases begin alike, phrases hold one another, texts repeat."""
+    import re
+
+    rng = random.Random(5)
+    words = ["a", "b", "ab", "Ça", "x_1", "7"]
+    phrases = {(" ".join(["a"] * (rng.random() < .3) + [rng.choice(words) for _ in range(rng.choice([1, 1, 2, 3, 5]))]), rng.choice(["ORG", "GPE"]))
+               for _ in range(120)} | {("a, b", "LAW"), ("b  7", "LAW"), ("ab inc.", "ORG"), ("", "ORG")}
+    texts = ["".join(rng.choice(words).swapcase() + rng.choice([" ", " ", " ", "  ", ", ", "", "\n", " inc. "]) for _ in range(60)) for _ in range(12)]
+    docs = [*enumerate(texts), (50, texts[0]), (50, texts[1]), (98, ""), (99, None), (None, "a b")]
+    wanted = Counter((i, t[m.start():m.end()], kind, m.start(), m.end()) for i, t in docs if t for p, kind in {(p.lower(), k) for p, k in phrases if p}
+                     for m in re.finditer(rf"(?i)(?<!\w)(?=({re.escape(p)})(?!\w))", t) for m in [re.compile(re.escape(p), re.I).match(t, m.start())])
+    found = en.entities(spark.createDataFrame(docs, "doc_id int, text string"),
+                        spark.createDataFrame(sorted(phrases), "phrase string, entity_type string"), inline_limit=inline_limit)
+    assert Counter(tuple(r)[:5] for r in found.select("doc_id", "text", "entity_type", "start", "end").collect()) == wanted
+    none = spark.createDataFrame([], "phrase string, entity_type string")
+    assert en.entities(found, none, "text").count() == 0
 
 
 def test_any_number_of_phrases_has_a_valence(spark):
@@ -371,7 +394,8 @@ def test_any_number_of_phrases_has_a_valence(spark):
 
     lexicon = spark.createDataFrame([("good", 2), ("not good", -3), *[(f"x{i} y{i}", 1) for i in range(600)]], "word string, valence int")
     df = spark.createDataFrame([(1, "Not good not good"), (2, "x5 y5 x599 Y599 x5 y6"), (3, None)], "doc_id int, text string")
-    assert {r.doc_id: r.score for r in sentence_sentiment(df, lexicon).collect()} == {1: -6, 2: 2}
+    for limit in (200_000, 20):
+        assert {r.doc_id: r.score for r in sentence_sentiment(df, lexicon, limit=limit).collect()} == {1: -6, 2: 2}
 
 
 @pytest.mark.parametrize("tile", [3, 1024])

@@ -1,22 +1,20 @@
 """Dictionary entities, cleaning and grouping.
 
 A pretrained recognizer is the caller's: `recognize` runs any batch function over text chunks. The
-built-in matcher joins word n-grams with a gazetteer (phrase, entity_type).
+built-in matcher runs an automaton of a gazetteer (phrase, entity_type) over the texts.
 """
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wordloom.constants import ENTITY_GROUPS, PERSON_NOISE
 from wordloom.functions import text as T
-from wordloom.functions.rows import explode_rows, inline_rows
-from wordloom.operators.phrases import ASCII_WORD, rewritten
-from wordloom.plans.storage import broadcast_if_small
+from wordloom.functions.rows import explode_rows
+from wordloom.operators.phrases import ASCII_WORD, AUTOMATON_PIECES, WORD, offsets, rewritten
 
 CHUNK_CHARS = 5000
-_BLOCK = 64
 ENTITY_SCHEMA = "text string, entity_type string, start bigint, end bigint, source string"
 
 
@@ -39,61 +37,28 @@ def recognize(df: DataFrame, recognizer: Callable[[Iterator[pd.DataFrame]], Iter
                              ).drop("offset")
 
 
-def _grams(pieces: Column, max_words: int) -> Column:
-    """Lower-cased word n-grams as (i, span, key): `span` pieces from the i-th on, counted from 0."""
-    grams = []
-    for n in range(1, max_words + 1):
-        span = 2 * n - 1  # words and gaps alternate
-        starts = F.when(F.size(pieces) >= span, F.sequence(F.lit(0), F.size(pieces) - span)).otherwise(
-            F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i: F.struct(
-            i.alias("i"), F.lit(span).alias("span"),
-            F.lower(F.array_join(F.slice(pieces, i + 1, span), "")).alias("key"))))
-    return F.concat(*grams)
+def _mentions(parts: list[str], hits: list[tuple[int, dict]]) -> list[dict]:
+    at = offsets(parts)
+    return [{"text": "".join(parts[start:start + len(hit["pieces"])]), "entity_type": hit["entity_type"], "start": at[start],
+             "end": at[start + len(hit["pieces"])], "source": "gazetteer"} for start, hit in hits]
 
 
 def entities(df: DataFrame, gazetteer: DataFrame, text: str = "text", id: str = "doc_id",
-             max_words: int | None = None, inline_limit: int = 10_000) -> DataFrame:
+             max_words: int | None = None, inline_limit: int = AUTOMATON_PIECES) -> DataFrame:
     """(id, text, entity_type, start, end, source): gazetteer phrases found in the text.
 
     Words are runs of letters, digits and underscores; a phrase matches its words with the same
-    characters between them, whatever their case; `max_words` leaves longer phrases out. Offsets count characters from 0.
-
-    A gazetteer of at most `inline_limit` phrases becomes a literal set and each document is matched
-    in place. A larger one is joined with the documents' n-grams.
+    characters between them, whatever their case, and no word goes on before or behind it; overlapping mentions
+    are all found. `max_words` leaves longer phrases out. Offsets count characters from 0.
+    A gazetteer of at most `inline_limit` pieces is one automaton in all tasks, a larger one is cut into parts.
     """
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
-    docs = df.select(id, pieces.alias("p"))
-    if max_words is None:
-        words = F.size(F.regexp_extract_all("phrase", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-        max_words = gazetteer.agg(F.max(words)).first()[0] or 1
-    named = gazetteer.select(F.lower("phrase").alias("key"), "entity_type").distinct()
-    keys = [r.key for r in named.select("key").distinct().limit(inline_limit + 1).collect()]
-    if len(keys) <= inline_limit:
-        in_set = ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in keys) or "''"
-        found = docs.withColumn("grams", _grams(F.col("p"), max_words))
-        found = found.select(id, "p", F.expr(f"filter(grams, g -> g.key IN ({in_set}))").alias("hits"))
-    else:
-        grams = inline_rows(docs, _grams(F.col("p"), max_words), "key", id)
-        hits = grams.join(broadcast_if_small(named.select("key").distinct()), "key", "left_semi")
-        # A document's own matches: bounded by its length.
-        found = docs.join(hits.groupBy(id).agg(F.collect_list(F.struct("i", "span", "key")).alias("hits")), id)
-    # Lengths of whole blocks of pieces, so that an offset adds up blocks and less than one block.
-    found = found.withColumn("blocks", F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("p") / _BLOCK).cast("int")),
-        lambda b: F.length(F.array_join(F.slice("p", b * _BLOCK + 1, F.lit(_BLOCK)), ""))))
-
-    def start(i: Column) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        whole = F.aggregate(F.slice("blocks", F.lit(1), block), F.lit(0), lambda a, n: a + n)
-        return whole + F.length(F.array_join(F.slice("p", block * _BLOCK + 1, i % _BLOCK), ""))
-
-    spans = F.transform("hits", lambda h: F.struct(
-        F.array_join(F.slice("p", h["i"] + 1, h["span"]), "").alias("text"),
-        start(h["i"]).cast("bigint").alias("start"), h["key"].alias("key")))
-    mentions = inline_rows(found, spans, "key", id).join(broadcast_if_small(named), "key")
-    return mentions.select(id, "text", "entity_type", "start", (F.col("start") + F.length("text")).alias("end"),
-                           F.lit("gazetteer").alias("source"))
+    named = gazetteer
+    if max_words is not None:
+        named = named.filter(F.size(F.regexp_extract_all("phrase", F.lit(rf"[{WORD}]+"), F.lit(0))) <= max_words)
+    named = named.select(F.lower("phrase").alias("key"), "entity_type").distinct()
+    docs = df.select(F.col(id).alias("_id"), F.col(text).alias("_of"))
+    found = rewritten(docs, named, "_of", WORD, _mentions, f"array<struct<{ENTITY_SCHEMA}>>", inline_limit)
+    return found.select(F.col("_id").alias(id), F.explode_outer("_out").alias("m")).filter("m IS NOT NULL").select(id, "m.*")
 
 
 def dedupe_entities(found: DataFrame, by_type: bool = True, id: str = "doc_id") -> DataFrame:
@@ -149,9 +114,8 @@ def _join_longest(parts: list[str], hits: list[tuple[int, dict]]) -> str:
     return "".join(parts)
 
 
-def join_entities(df: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
+def join_entities(df: DataFrame, phrases: DataFrame, text: str = "text", limit: int = AUTOMATON_PIECES) -> DataFrame:
     """Write multi-word phrases as one `_`-joined token, longest first, whatever their case."""
     named = phrases.filter(F.contains("phrase", F.lit(" "))).groupBy(F.lower("phrase").alias("low")).agg(F.min("phrase").alias("key")).select("key")
-    new = rewritten(df, named, text, ASCII_WORD, _join_longest, "string")
-    joined = df.join(new, F.md5(df[text]) == new["_key"], "left")
-    return joined.select(*[F.coalesce(new["_out"], df[c]).alias(c) if c == text else df[c] for c in df.columns])
+    joined = rewritten(df, named, text, ASCII_WORD, _join_longest, "string", limit)
+    return joined.select(*[F.coalesce("_out", text).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.functions import text as T
 from wordloom.functions.rows import explode_rows, posexplode_rows
-from wordloom.operators.phrases import WORD, rewritten
-from wordloom.plans.storage import broadcast_if_small, materialize
+from wordloom.operators.phrases import AUTOMATON_PIECES, WORD, rewritten
+from wordloom.plans.storage import broadcast_if_small
 
 _NUMBERED = r"^\[(\d+)\]\s*(.*)"
 
@@ -51,7 +51,8 @@ def _phrase_score(parts: list[str], hits: list[tuple[int, dict]]) -> int:
     return score
 
 
-def sentence_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+def sentence_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "text", id: str = "doc_id",
+                       limit: int = AUTOMATON_PIECES) -> DataFrame:
     """(id, sentence_id, label, sentence, score, sentiment): the sum of the valences of its words."""
     rows = labeled_sentences(df, text, id)
     words = rows.select(id, "sentence_id", F.explode(F.split(F.lower("sentence"), T.NON_WORD)).alias("word"))
@@ -61,10 +62,8 @@ def sentence_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "text", id
     scored = rows.join(sums, F.col(id).eqNullSafe(F.col("_of")) & (F.col("sentence_id") == F.col("_place")), "left").select(
         id, "sentence_id", "label", "sentence", F.coalesce("_sum", F.lit(0)).alias("score"))
     if not lexicon.filter(F.col("word").rlike(r"[^\p{L}\p{N}_]")).isEmpty():
-        scored = materialize(scored)
-        gains = rewritten(scored, _phrases(lexicon), "sentence", WORD, _phrase_score, "bigint")
-        scored = scored.join(gains, F.md5("sentence") == F.col("_key"), "left").withColumn(
-            "score", F.col("score") + F.coalesce("_out", F.lit(0))).drop("_key", "_out")
+        scored = rewritten(scored, _phrases(lexicon), "sentence", WORD, _phrase_score, "bigint", limit).withColumn(
+            "score", F.col("score") + F.coalesce("_out", F.lit(0))).drop("_out")
     mood = F.when(F.col("score") > 0, "Positive").when(F.col("score") < 0, "Negative").otherwise("Neutral")
     return scored.withColumn("score", F.col("score").cast("bigint")).withColumn("sentiment", mood)
 
