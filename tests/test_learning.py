@@ -274,3 +274,26 @@ def test_registered_validations_do_the_whole_job(spark, monkeypatch):
     with pytest.raises(KeyError):
         learning.QUERIES["binary_relevance"](spark, SF)
     assert fitted == [ex.Settings()]
+
+
+def test_knn_sends_a_query_once_to_a_tile(spark, monkeypatch):
+    """Cells share tiles: rows that travel do not grow with the number of pivots, and each query is stored once."""
+    from wordloom.operators import neighbors as nb
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, str(i % 2), rng.normal(0, 1, 16).tolist()) for i in range(400)],
+                               "doc_id bigint, label string, features array<double>")
+    stored = []
+    monkeypatch.setattr(nb, "materialize", lambda d: (stored.append(d.cache()), stored[-1])[1])
+    got = {(r.doc_id, r.neighbor_id, r.rank, round(r.distance, 9)) for r in
+           knn_join(df, df, 3, group="label", exclude_self=True, pivots=60, tile=100).collect()}
+    assert got == brute(df, 3, True, True)
+    visits = [d for d in stored if "tiles" in d.columns or ("cell" in d.columns and "reach" not in d.columns)][0]
+    assert visits.count() == 400 and visits.agg(F.max(F.size("tiles"))).first()[0] <= 4
+
+
+def test_knn_of_repeated_ids_keeps_k_others(spark):
+    """Rows of the query's own id do not use up its reach."""
+    rows = [(1, [0.0])] * 6 + [(2 + i, [10.0 + i]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, features array<double>")
+    found = knn_join(df, df, 2, exclude_self=True, pivots=12, tile=4).filter("doc_id = 1").collect()
+    assert {r.neighbor_id for r in found} <= {2, 3} and found
