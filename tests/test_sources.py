@@ -133,3 +133,14 @@ def test_headers_do_not_depend_on_other_files(spark, tmp_path):
     assert sorted((r.id, r.name, r.sku, r.price, r.column_1, r.column_2) for r in got.collect()) == [
         ("", "", "", "", "1", "2"), ("", "", "", "", "3", "4"), ("", "", "x", "3", "", ""),
         ("7", "one", "", "", "", ""), ("8", "two", "", "", "", "")]
+
+
+def test_many_small_files_share_a_batch(spark, monkeypatch):
+    """Results of files leave a task in batches of many rows; errors and empty files keep their places."""
+    files = [(f"{i}.docx", bytes(binary.docx_bytes([f"a {i}", "b"] if i % 5 else []))) for i in range(30)] + [("x.docx", b"no zip"), ("y.odd", b"")]
+    df = spark.createDataFrame(files, "path string, content binary").coalesce(1)
+    get = lambda: sorted((r.path, r.row, r.text, r.error is None) for r in binary.extract_binary_docs(df).collect())
+    whole = get()
+    assert len(whole) == 24 * 2 + 2 and sum(not ok for *_, ok in whole) == 2
+    monkeypatch.setattr(binary, "OUT_ROWS", 3)
+    assert get() == whole
