@@ -1 +1,103 @@
+"""Hand-computed results of the text functions."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom.constants import STOPWORDS, TOPIC_STOPWORDS
+from wordloom.functions import text as T
+from wordloom.functions.porter import porter_stem
+
+
+@pytest.fixture
+def call(spark):
+    def run(value, fn):
+        return spark.createDataFrame([(value,)], "t string").select(fn(F.col("t")).alias("r")).first().r
+    return run
+
+
+def test_word_lists():
+    assert len(STOPWORDS) == 126 and len(TOPIC_STOPWORDS) == 129
+
+
+def test_tokenize(call):
+    text = "The QUICK foxes, cafés; an x2y in ab1 foo_bar"
+    assert call(text, T.tokenize) == ["quick", "foxes", "caf", "x2y", "ab1", "foo", "bar"]
+    assert call(text, lambda c: T.tokenize(c, include_stopwords=True))[0] == "the"
+    assert call(text, lambda c: T.tokenize(c, max_tokens=2)) == ["quick", "foxes"]
+    assert call("of the and", T.tokenize) == []
+    assert call("", T.tokenize) == []
+
+
+def test_tokenize_vocab_needs_whole_words(call):
+    assert call("Foo_bar cafés plain 123 ab", T.tokenize_vocab) == ["plain", "123"]
+
+
+def test_clean(call):
+    assert call("  Hello,   WORLD!\tit's_ok — Été ", T.basic_clean) == "hello world it s_ok été"
+    assert call("the cat and the cat", T.remove_stopwords) == "cat cat"
+
+
+def test_sentences(call):
+    assert call("One. Two!  Three? v1.2 end.", T.sentences) == ["One", "Two", "Three", "v1.2 end."]
+    assert call("a\n\nb. c", T.paragraphs) == ["a", "b", "c"]
+
+
+def test_chunks(call):
+    assert [(c.start, c.chunk) for c in call("abcdefg", lambda c: T.chunks(c, 3))] == [(0, "abc"), (3, "def"), (6, "g")]
+    assert call("", lambda c: T.chunks(c, 3)) is None
+
+
+def test_ngrams(call):
+    split = lambda c: F.split(c, " ")
+    assert call("a b c", lambda c: T.ngrams(split(c), 2)) == ["a b", "b c"]
+    assert call("a", lambda c: T.ngrams(split(c), 2)) == []
+    assert call("a b c", lambda c: T.ngrams(split(c), 3)) == ["a b c"]
+
+
+def test_snippet(call):
+    assert call("x" * 180, T.snippet) == "x" * 180
+    assert call("x" * 181, T.snippet) == "x" * 160 + "..."
+
+
+def test_unicode_space_is_stripped(call):
+    assert call("  a b \n", T.strip) == "a b"
+
+
+# Words and stems printed with the published algorithm.
+STEMS = """caresses caress ponies poni cats cat feed feed agreed agre plastered plaster bled bled motoring motor
+sing sing conflated conflat troubled troubl sized size hopping hop falling fall filing file happy happi
+relational relat conditional condit rational ration digitizer digit vietnamization vietnam operator oper
+feudalism feudal decisiveness decis hopefulness hope formality formal sensitivity sensit triplicate triplic
+formative form electrical electr goodness good revival reviv allowance allow inference infer airliner airlin
+adjustable adjust replacement replac adjustment adjust adoption adopt activate activ effective effect
+probate probat rate rate cease ceas controll control roll roll generalizations gener oscillators oscil""".split()
+
+
+@pytest.mark.parametrize("word,stem", list(zip(STEMS[::2], STEMS[1::2])))
+def test_porter(word, stem):
+    assert porter_stem(word) == stem
+    assert porter_stem(word, extended=False) == stem
+
+
+def test_porter_extended():
+    assert [porter_stem(w) for w in ["ties", "dying", "enjoy", "by", "possibly"]] == ["tie", "die", "enjoy", "by", "possibl"]
+    assert porter_stem("ties", extended=False) == "ti"
+
+
+def test_lemmatize_shuffles_texts_not_words(spark):
+    from wordloom.operators import normalize as nm
+    df = spark.createDataFrame([(1, "two cats sat"), (1, "dogs"), (2, "")], "doc_id bigint, text string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, lemma string")
+    found = nm.lemmatize(df, lemmas)
+    assert {(r.doc_id, tuple(sorted(r.text.split()))) for r in found.collect()} == {(1, ("cat", "dog", "sat", "two")), (2, ())}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line and "REPARTITION" not in line] == []
+
+
+def test_found_phrases_leave_a_task_in_small_batches(spark, monkeypatch):
+    from wordloom.operators import entities as en, phrases
+    df = spark.createDataFrame([(i, "New York and york" if i % 3 else None) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    named = spark.createDataFrame([("new york", "GPE"), ("york", "PERSON")], "phrase string, entity_type string")
+    whole = sorted(en.entities(df, named).collect())
+    monkeypatch.setattr(phrases, "OUT_PIECES", 6)
+    assert sorted(en.entities(df, named).collect()) == whole and len(whole) == 40 * 3

@@ -16,6 +16,8 @@ from wordloom.plans.storage import materialize
 ASCII_WORD, WORD = "A-Za-z0-9_", r"\p{L}\p{N}_"
 AUTOMATON_PIECES = 200_000  # an automaton of that many states takes about 100 MB of a task's memory
 
+OUT_PIECES = 200_000  # of the texts whose results a task holds at a time
+
 
 def pieces(text: Column, word: str) -> Column:
     """Runs of word characters and single other characters, in order; nothing is left out."""
@@ -105,11 +107,15 @@ def rewritten(df: DataFrame, phrases: DataFrame, text: str, word: str, rewrite:
         def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
             automaton = Automaton(held.value, word)
             for texts in series:
-                out = []
+                out, size = [], 0
                 for value in texts:
                     parts = [] if value is None else split(value, word)
                     hits = automaton.hits(parts)
                     out.append(rewrite(parts, hits) if hits else None)
+                    size += len(parts)
+                    if size >= OUT_PIECES:  # what is found takes many times the memory of the texts
+                        yield pd.Series(out, dtype="object")
+                        out, size = [], 0
                 yield pd.Series(out, dtype="object")
 
         return df.withColumn("_out", run(F.col(text)))
