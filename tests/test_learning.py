@@ -297,3 +297,20 @@ def test_knn_of_repeated_ids_keeps_k_others(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, features array<double>")
     found = knn_join(df, df, 2, exclude_self=True, pivots=12, tile=4).filter("doc_id = 1").collect()
     assert {r.neighbor_id for r in found} <= {2, 3} and found
+
+
+def test_text_vectors_keep_the_first_of_equal_terms(spark):
+    """One aggregate gives vocabulary and idf; terms of equal frequency follow the alphabet."""
+    words = ["w%02d" % i for i in range(40)]
+    df = spark.createDataFrame([(i, " ".join(reversed(words))) for i in range(4)] + [(9, "w39 rest")], "doc_id bigint, text string")
+    fitted = ft.TextVectors(max_n=1, max_features=10).fit(df)
+    assert fitted.counter.vocabulary == ["w39", *words[:9]]
+    assert [round(w, 9) for w in fitted.scale.getScalingVec().toArray()[:2]] == [1.0, round(float(np.log(6 / 5)) + 1, 9)]
+    with pytest.raises(ValueError, match="min_df"):
+        ft.TextVectors(max_n=1, min_df=7).fit(df)
+
+
+def test_term_counts_shuffle_texts_not_pairs(spark, corpus):
+    plan = ft.term_counts(corpus)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "term" not in shuffles[0].split("ENSURE")[0].split("REPARTITION")[0]
