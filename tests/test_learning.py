@@ -1,11 +1,12 @@
 """Features, sampling, neighbours, resampling and models on small corpora."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from wordloom.operators import classifiers as cl, features as ft, metrics as mt, sampling as sp
+from wordloom.operators import classifiers as cl, features as ft, metrics as mt, neighbors as nb, sampling as sp
 from wordloom.operators.neighbors import knn_join, knn_predict
 from wordloom.operators.resample import smote
 from wordloom.plans import experiments as ex
@@ -314,3 +315,21 @@ def test_term_counts_shuffle_texts_not_pairs(spark, corpus):
     plan = ft.term_counts(corpus)._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(shuffles) == 1 and "term" not in shuffles[0].split("ENSURE")[0].split("REPARTITION")[0]
+
+
+def test_rare_columns_are_not_made_dense(monkeypatch):
+    """Columns in few rows cost the pairs that share them, not a dense cell in every row; distances stay the same."""
+    rng = np.random.default_rng(3)
+    idx = [np.unique(np.concatenate([[0, 1], 2 + rng.choice(20_000, 40)])) for _ in range(900)]
+    val = [rng.normal(size=len(i)) for i in idx]
+    made, dense = [], nb._Rows.dense
+    monkeypatch.setattr(nb, "_BLOCK_CELLS", 20_000)
+    monkeypatch.setattr(nb._Rows, "dense", lambda self, *a: made.append(dense(self, *a)) or made[-1])
+    left, right = nb._Rows(pd.Series(idx[:300]), pd.Series(val[:300])), nb._Rows(pd.Series(idx), pd.Series(val))
+    found = np.concatenate([block for _, block in nb._distances(left, right)])
+    assert sum(m.size for m in made) < 100 * (300 + 900)
+    full = np.zeros((900, 20_002))
+    for i, (c, v) in enumerate(zip(idx, val)):
+        full[i, c] = v
+    expected = np.sqrt(np.maximum((full[:300] ** 2).sum(1)[:, None] + (full ** 2).sum(1) - 2 * full[:300] @ full.T, 0))
+    assert np.allclose(found, expected, atol=1e-6)
