@@ -1,12 +1,18 @@
 """Features, sampling, neighbours, resampling and models on small corpora."""
 
+import heapq
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import WORDS
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from wordloom.operators import classifiers as cl, features as ft, metrics as mt, neighbors as nb, sampling as sp
+from wordloom.operators import classifiers as cl, features as ft, metrics as mt, neighbors as nb, sampling as sp, skipgram
 from wordloom.operators.neighbors import knn_join, knn_predict
 from wordloom.operators.resample import smote
 from wordloom.plans import experiments as ex
@@ -149,6 +155,73 @@ def test_word_vectors_and_scaling(spark, corpus):
     assert moments.filter("abs(m) > 1e-6 OR abs(s - 1) > 1e-6").count() == 0
 
 
+def test_huffman_runs_make_a_shortest_code():
+    rng = random.Random(3)
+    for counts in ([5], [2, 2], [2, 2, 2], [1, 2, 3, 4], sorted(rng.choice([2, 2, 2, 3, 5, 9, rng.randint(2, 900)]) for _ in range(501))):
+        tree = skipgram.Tree(sorted(Counter(counts).items()))
+        nodes, bits = tree.paths(np.arange(len(counts)))
+        heap, least = list(counts), 0
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            least += both
+            heapq.heappush(heap, both)
+        assert sum(int(n) * c for n, c in zip((nodes >= 0).sum(axis=1), counts)) == least
+        codes = ["".join(map(str, b[b >= 0][::-1])) for b in bits]
+        assert not any(x != y and y.startswith(x) for x in codes for y in codes) and len(set(codes)) == len(codes)
+
+
+def test_batches_train_as_loops_over_pairs_do():
+    rng = np.random.default_rng(1)
+    words, sentence = rng.integers(0, 20, 150), np.repeat([1, 2, 3], 50)
+    tree = skipgram.Tree([(2, 12), (5, 8)])
+    nodes, bits = tree.paths(np.arange(20))
+    nodes = np.where(nodes >= 0, nodes - 20, -1)
+    rows, inner = (rng.normal(0, 0.5, shape).astype(np.float32) for shape in ((21, 8), (19, 8)))
+    rows[20] = 0
+    start, points = rows.copy(), inner.copy()
+    for batch in (1, 64):
+        a, b, alpha = start.copy(), points.copy(), 1e-3
+        seen, touched = skipgram.train(words, sentence, nodes, bits, a, b, 3, lambda done: alpha, np.random.default_rng(5), batch)
+        x, y = start.astype(float), points.astype(float)
+        reach = np.random.default_rng(5).integers(1, 4, 150)
+        for i in range(150):
+            for j in range(max(0, i - reach[i]), min(150, i + reach[i] + 1)):
+                if j != i and sentence[i] == sentence[j]:
+                    moved = 0
+                    for node, bit in zip(nodes[words[i]], bits[words[i]]):
+                        if node >= 0:
+                            g = alpha * (1 - bit - 1 / (1 + math.exp(-x[words[j]] @ y[node])))
+                            moved = moved + g * y[node]
+                            y[node] = y[node] + g * x[words[j]]
+                    x[words[j]] += moved
+        for found, true, begun in ((a, x, start), (b, y, points)):
+            assert np.abs(found - true).max() < 0.05 * np.abs(true - begun).max()
+    assert seen.sum() == sum(sentence[i] == sentence[j] for i in range(150) for j in range(max(0, i - reach[i]), min(150, i + reach[i] + 1))) - 150
+
+
+def test_word_vectors_exchange_rows_between_parts(corpus, monkeypatch):
+    """Many parts and buckets; words of one class come to lie together, and no part holds all texts."""
+    monkeypatch.setattr(skipgram, "PART_WORDS", 60)
+    monkeypatch.setattr(skipgram, "BUCKET_ROWS", 7)
+    fitted = ft.WordVectors(16, epochs=30).fit(corpus)
+    assert fitted.model.parts > 16 and fitted.model.buckets == 8 and fitted.vocabulary_size == 28
+    near = {r["_token"]: r.vector.toArray() / np.linalg.norm(r.vector.toArray()) for r in fitted.vectors.collect()}
+    label = {w: c for c, words in WORDS.items() for w in words}
+    same = [near[v] @ near[w] for v in near for w in near if v < w and label[v] == label[w]]
+    other = [near[v] @ near[w] for v in near for w in near if v < w and label[v] != label[w]]
+    assert len(near) == 28 and np.mean(same) > np.mean(other) + 0.3
+
+
+def test_word_vector_means(spark, corpus):
+    """Documents of one id share a mean, a null id or text has zeros."""
+    fitted = ft.WordVectors(8, epochs=1).fit(corpus)
+    raw = {r["_token"]: r.vector.toArray() for r in fitted.vectors.collect()}
+    rows = spark.createDataFrame([(1, "goal team goal"), (1, "what bank"), (2, "what"), (3, None), (None, "goal")], "doc_id bigint, text string")
+    found = fitted.transform(rows).collect()
+    shared = (2 * raw["goal"] + raw["team"] + raw["bank"]) / 4
+    assert len(found) == 5 and all(np.allclose(r.features.toArray(), shared if r.doc_id == 1 else 0, atol=1e-7) for r in found)
+
+
 @pytest.mark.parametrize("model", ["nb", "lr", "svm", "knn"])
 def test_models_learn(corpus, model):
     found = ex.train_and_predict(corpus, model, ex.Settings(min_df=1))

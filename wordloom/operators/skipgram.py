@@ -1,0 +1,376 @@
+"""Word vectors by skip-gram with hierarchical softmax: the model and the schedule of MLlib's Word2Vec.
+
+MLlib sends all vectors to every task and gathers them on the driver after each epoch. Here a task holds
+only the rows that its texts touch. Texts are dealt into parts once; an epoch trains each part on its own,
+sends its rows to buckets, where copies are averaged by the number of pairs that trained them, and the
+next epoch takes from the buckets the rows of each part. The driver sees how many words have which count.
+
+A task trains `BATCH` neighbouring words at once by products of small dense blocks. Steps that one row
+gets in a batch start from the same point; where they are many, as at the root, their sum is shortened
+to what steps one after the other would reach, so that it cannot overshoot.
+"""
+
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import RDD
+from pyspark.sql import Column, DataFrame, functions as F
+
+from wordloom.functions.rows import explode_rows, posexplode_rows
+from wordloom.operators.ranking import rank_by_frequency
+from wordloom.plans.storage import broadcast_if_small, drop_path, materialize, written
+
+RATE, LEAST_RATE = 0.025, 1e-4  # learning rate, falling in proportion to the words done, and its least share
+SENTENCE = 1000  # known words of a text that see each other; longer texts are cut
+FAR = 6  # a pair this clearly decided is not trained
+BATCH, CHUNK = 64, 4096  # words trained at once, words prepared at once
+PART_WORDS = 2_500_000  # words of a part, so that its rows fit in a task
+BUCKET_ROWS = 5_000  # rows of a bucket
+VOCABULARY_ROWS = 1_000_000  # of a broadcast vocabulary; its bytes are limited too
+_PACKED = "part int, piece int, words binary, starts binary, rows binary"
+_STATE = "bucket int, vectors binary, need array<struct<part: int, at: binary>>"
+
+
+class Tree:
+    """A Huffman tree over words 0, 1, .. of rising count, kept as runs of neighbours.
+
+    Words of one count are paired in order, so a few thousand runs describe the tree of any vocabulary.
+    Node ids follow the words' in order of their making; the last one is the root.
+    """
+
+    def __init__(self, spectrum: Iterable[tuple[int, int]]):
+        """spectrum: (count, number of words) by rising count."""
+        leaves, inner, runs, at = deque(), deque(), [], 0
+        for count, n in spectrum:
+            leaves.append((count, at, n))
+            at += n
+        self.words, left = at, at
+
+        def least() -> deque:
+            return leaves if leaves and (not inner or leaves[0][0] <= inner[0][0]) else inner
+
+        def merged(weight: int, n: int) -> None:
+            nonlocal at
+            if inner and inner[-1][0] == weight:
+                _, first, more = inner.pop()
+                inner.append((weight, first, more + n))
+            else:
+                inner.append((weight, at, n))
+            at += n
+
+        while left > 1:
+            queue = least()
+            weight, first, n = queue.popleft()
+            if n > 1:
+                if n % 2:
+                    queue.appendleft((weight, first + n - 1, 1))
+                runs.append((first, at, 0))
+                merged(2 * weight, n // 2)
+                left -= n // 2
+                continue
+            queue = least()
+            other, second, n = queue.popleft()
+            if n > 1:
+                queue.appendleft((other, second + 1, n - 1))
+            runs += [(first, at, 0), (second, at, 1)]
+            merged(weight + other, 1)
+            left -= 1
+        self.size = at
+        self.first, self.up, self.bit = np.array(sorted(runs), np.int64).reshape(-1, 3).T
+
+    def paths(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, bits), a row a word, from the word up to the root; -1 past the root."""
+        nodes, bits, at = [], [], words.astype(np.int64)
+        while (at < self.size - 1).any():
+            run = np.searchsorted(self.first, at, "right") - 1
+            step, inside = at - self.first[run], at < self.size - 1
+            bits.append(np.where(inside, self.bit[run] ^ (step & 1), -1).astype(np.int8))
+            at = np.where(inside, self.up[run] + (step >> 1), self.size)
+            nodes.append(np.where(inside, at, -1).astype(np.int32))
+        if not nodes:
+            return np.empty((len(words), 0), np.int32), np.empty((len(words), 0), np.int8)
+        return np.stack(nodes, axis=1), np.stack(bits, axis=1)
+
+
+def starting(ids: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A word's first vector, uniform within 0.5 / size of zero: the same in every part."""
+    out = np.empty((len(ids), size), np.float32)
+    for low in range(0, len(ids), CHUNK):
+        x = (ids[low:low + CHUNK, None].astype(np.uint64) * np.uint64(size) + np.arange(size, dtype=np.uint64)
+             + np.uint64(seed % (1 << 31) << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[low:low + CHUNK] = (((x ^ (x >> np.uint64(31))) >> np.uint64(40)) / np.float64(1 << 24) - 0.5) / size
+    return out
+
+
+def _shortened(steps: np.ndarray) -> np.ndarray:
+    """What is left of a sum of steps, by their number times curvature."""
+    return (-np.expm1(-steps) / np.maximum(steps, 1e-6)).astype(np.float32) + (steps < 1e-6)
+
+
+def train(words: np.ndarray, sentence: np.ndarray, nodes: np.ndarray, bits: np.ndarray, rows: np.ndarray, inner: np.ndarray,
+          window: int, rate: Callable[[int], float], rng: np.random.Generator, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """One epoch over `words`, in place; the number of pairs that trained each row of `rows` and of `inner`.
+
+    rows has a last row of zeros for places outside the text; nodes and bits are paths by word, -1 past their ends.
+    """
+    lengths, depth, span, outside = (nodes >= 0).sum(axis=1), np.arange(nodes.shape[1]), 2 * window + 1, len(rows) - 1
+    place, steps, wide = np.abs(np.arange(-window, window + 1)), np.arange(span), batch + 2 * window
+    spots, start = (np.arange(batch)[:, None] + steps).ravel(), np.arange(batch) * span
+    seen, touched = np.zeros(len(rows)), np.zeros(len(inner))
+    before, after = np.full(window, -1), np.full(window + batch, -1)
+    most = min(len(inner), batch * nodes.shape[1])  # nodes of a batch; memory taken once is faster than taken for each batch
+    scores, errors, y_all, moved = (np.empty((most, k), np.float32) for k in (wide, wide, rows.shape[1], rows.shape[1]))
+    all_words = np.concatenate([before * 0 + outside, words, after * 0 + outside])
+    all_sentences = np.concatenate([before, sentence, after])
+    for low in range(0, len(words), CHUNK):
+        mine = words[low:low + CHUNK]
+        n, size = len(mine), lengths[mine]
+        near = sliding_window_view(all_sentences[low:low + n + 2 * window], span) == sentence[low:low + n, None]
+        near &= (place > 0) & (place <= rng.integers(1, window + 1, n)[:, None])
+        near = np.concatenate([near, np.zeros((-n % batch, span), bool)])
+        pairs = near.sum(axis=1)
+        # the nodes of each batch, once each, and where a node meets a place: one entry for each step of a pair
+        used, row = depth < size[:, None], np.repeat(np.arange(n), size)
+        own, at = np.unique(row // batch * len(inner) + nodes[mine][used], return_inverse=True)
+        bounds = np.searchsorted(own, np.arange(-(-n // batch) + 1) * np.int64(len(inner)))
+        own, at = own % max(1, len(inner)), at - bounds[row // batch]
+        entry, side = np.nonzero(near[row])
+        where, label = (at * wide + row % batch)[entry] + side, 1 - bits[mine][used].astype(np.float32)[entry]
+        ends = np.concatenate([[0], np.cumsum(size), np.full(-n % batch, size.sum())])
+        entry_ends = np.concatenate([[0], np.cumsum(pairs[row])])
+        for b, first in enumerate(range(0, n, batch)):
+            lo, hi = ends[first], ends[first + batch]
+            if lo == hi:
+                continue
+            node, inv, r, ok = own[bounds[b]:bounds[b + 1]], at[lo:hi], row[lo:hi] - first, near[first:first + batch]
+            these = slice(entry_ends[lo], entry_ends[hi])
+            word, back = np.unique(all_words[low + first:low + first + wide], return_inverse=True)
+            old, y, m = rows[word], np.take(inner, node, axis=0, out=y_all[:len(node)], mode="clip"), len(node)
+            x, spot = old[back], where[these]
+            z = np.take(np.matmul(y, x.T, out=scores[:m]).ravel(), spot)
+            g = errors[:m]
+            g[:] = 0
+            np.add.at(g.ravel(), spot, (label[these] - 1 / (1 + np.exp(-z))) * (np.abs(z) < FAR))
+            alpha, long = rate(low + first), np.einsum("ij,ij->i", y, y)[inv]
+            reach = (ok * np.einsum("ij,ij->i", x, x)[spots].reshape(batch, span)).sum(axis=1)
+            down = alpha * _shortened(alpha / 4 * np.bincount(inv, reach[r], len(node)))
+            deep, some = np.zeros(batch), np.flatnonzero(ends[first:first + batch] < ends[first + 1:first + batch + 1])
+            deep[some] = np.maximum.reduceat(long, ends[first:first + batch][some] - lo)
+            times = ok.ravel()
+            weight = np.bincount(spots, times * np.repeat(deep, span), wide)
+            up = alpha * _shortened(alpha / 4 * np.bincount(back, weight, len(word)))
+            same = np.zeros((len(word), wide), np.float32)
+            same[back, np.arange(wide)] = up[back]
+            rows[word] = old + same @ (g.T @ y)
+            change = np.matmul(g, x, out=moved[:m])
+            change *= down[:, None].astype(np.float32)
+            y += change
+            inner[node] = y
+            touched[node] += np.bincount(inv, pairs[first:first + batch][r], len(node))
+            seen[word] += np.bincount(back, np.bincount(spots, times, wide), len(word))
+    rows[outside] = 0
+    return seen[:-1], touched
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, row, pos, id) in order as pieces: words, whether each begins a text, and the texts' rows."""
+    before, piece = None, 0
+    for batch in batches:
+        part, row, words = (batch.column(c).to_numpy() for c in ("part", "row", "id"))
+        new = np.concatenate([[before is None or row[0] != before], row[1:] != row[:-1]]) if len(row) else np.empty(0, bool)
+        before = row[-1] if len(row) else before
+        cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            if low < high:
+                piece += 1
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([part[low]], pa.int32()), "piece": pa.array([piece], pa.int32()),
+                    **{name: pa.array([v[low:high].tobytes()], pa.binary()) for name, v in (
+                        ("words", words), ("starts", new.astype(np.uint8)), ("rows", row))}})
+
+
+class SkipGram:
+    """Vectors of words seen `min_count` times, learned from (row, tokens) texts in `parts` parts."""
+
+    def __init__(self, size: int, window: int, min_count: int, epochs: int, seed: int, parts: int | None = None):
+        self.size, self.window, self.min_count, self.epochs, self.seed, self.parts = size, window, min_count, epochs, seed, parts
+
+    def _packed(self, texts: DataFrame) -> DataFrame:
+        """Ids of the known words of (row, tokens), part by part, in order."""
+        known = broadcast_if_small(self.vocabulary.select("word", "id"), VOCABULARY_ROWS)
+        part = F.pmod(F.xxhash64("row"), F.lit(self.parts)).cast("int")
+        placed = posexplode_rows(texts, F.col("tokens"), "pos", "word", "row").join(known, "word").select(part.alias("part"), "row", "pos", "id")
+        return materialize(placed.repartition(self.parts, "part").sortWithinPartitions("part", "row", "pos").mapInArrow(_pack, _PACKED))
+
+    def fit(self, texts: DataFrame) -> "SkipGram":
+        cores = texts.sparkSession.sparkContext.defaultParallelism
+        counts = explode_rows(texts, F.col("tokens"), "word").groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= self.min_count)
+        ranked = materialize(rank_by_frequency(counts, "word", "n"))
+        spectrum = [(r.n, r["count"]) for r in ranked.groupBy("n").count().orderBy("n").collect()]  # one row a count, not a word
+        if not spectrum:
+            raise ValueError("the vocabulary is empty: lower min_count")
+        self.tree = Tree(spectrum)
+        self.vocabulary = ranked.select("word", (F.lit(self.tree.words) - F.col("rank")).cast("int").alias("id"))
+        if self.parts is None:
+            self.parts = cores * max(1, -(-sum(c * n for c, n in spectrum) // (cores * PART_WORDS)))
+        self.buckets = -(-self.tree.size // BUCKET_ROWS)
+        self.tasks = min(self.buckets, max(2 * cores, self.buckets // 16))
+        packed, self.state, path = self._packed(texts), None, None
+        for epoch in range(self.epochs):
+            feed = packed.rdd.map(lambda r: (r.part, (r.piece, bytes(r.words), bytes(r.starts))))
+            if epoch:
+                feed = feed.union(self._dealt(self.state.rdd.map(lambda r: (r.bucket, bytes(r.vectors), [(n.part, bytes(n.at)) for n in r.need]))))
+            trained = feed.partitionBy(self.parts, int).mapPartitions(self._trainer(epoch))
+            merged, earlier = trained.partitionBy(self.tasks, int).mapPartitions(self._averager()), path
+            self.state, path = written(texts.sparkSession.createDataFrame(merged, _STATE, verifySchema=False), "vectors")
+            if earlier:
+                drop_path(texts.sparkSession, earlier)
+            texts.sparkSession._jvm.System.gc()  # so that Spark drops the epoch's shuffle files
+        return self
+
+    def _dealt(self, state: RDD) -> RDD:
+        """Of each bucket the rows that a part needs, by part."""
+        size = self.size
+
+        def run(row: tuple) -> Iterator[tuple]:
+            bucket, vectors, need = row
+            values = np.frombuffer(vectors, np.float32).reshape(-1, size)
+            for part, at in need:
+                yield part, (-1 - bucket, at, values[np.frombuffer(at, np.int32)].tobytes())
+
+        return state.flatMap(run)
+
+    def _trainer(self, epoch: int) -> Callable:
+        tree, size, window, buckets, seed, epochs = self.tree, self.size, self.window, self.buckets, self.seed, self.epochs
+
+        def run(items: Iterator[tuple]) -> Iterator[tuple]:
+            pieces, given, part = [], [], None
+            for part, item in items:
+                (pieces if item[0] >= 0 else given).append(item)
+            if not pieces:
+                return
+            pieces.sort()
+            own, words = np.unique(np.concatenate([np.frombuffer(p[1], np.int32) for p in pieces]), return_inverse=True)
+            starts = np.concatenate([np.frombuffer(p[2], np.uint8) for p in pieces]) > 0
+            where = np.arange(len(words))
+            begun = np.maximum.accumulate(np.where(starts, where, 0))
+            sentence = np.cumsum(starts | ((where - begun) % SENTENCE == 0))
+            nodes, bits = tree.paths(own)
+            points = np.unique(nodes[nodes >= 0])
+            nodes = np.where(nodes >= 0, np.searchsorted(points, nodes), -1).astype(np.int32)
+            rows, inner = np.zeros((len(own) + 1, size), np.float32), np.zeros((len(points), size), np.float32)
+            if not given:
+                rows[:-1] = starting(own, size, seed)
+            while given:
+                bucket, at, vectors = given.pop()
+                ids = np.frombuffer(at, np.int32).astype(np.int64) * buckets + (-1 - bucket)
+                values, is_word = np.frombuffer(vectors, np.float32).reshape(-1, size), ids < tree.words
+                rows[np.searchsorted(own, ids[is_word])] = values[is_word]
+                inner[np.searchsorted(points, ids[~is_word])] = values[~is_word]
+
+            def rate(done: int) -> float:
+                return RATE * max(LEAST_RATE, 1 - (epoch + done / len(words)) / epochs)
+
+            seen, touched = train(words, sentence, nodes, bits, rows, inner, window, rate, np.random.default_rng([seed % (1 << 31), epoch, part]))
+            ids = np.concatenate([own, points]).astype(np.int64)
+            counts = np.concatenate([seen, touched])
+            order = np.argsort(ids % buckets, kind="stable")
+            ends = np.searchsorted(ids[order] % buckets, np.arange(buckets + 1))
+            for bucket in range(buckets):
+                mine = order[ends[bucket]:ends[bucket + 1]]
+                if len(mine):  # words come before nodes
+                    split = np.searchsorted(mine, len(own))
+                    values = np.concatenate([rows[mine[:split]], inner[mine[split:] - len(own)]])
+                    yield bucket, (part, (ids[mine] // buckets).astype(np.int32).tobytes(), counts[mine].tobytes(), values.tobytes())
+
+        return run
+
+    def _averager(self) -> Callable:
+        size, buckets, total = self.size, self.buckets, self.tree.size
+
+        def run(items: Iterator[tuple]) -> Iterator[tuple]:
+            sums: dict = {}
+            for bucket, (part, at, counts, vectors) in items:
+                if bucket not in sums:
+                    n = -(-(total - bucket) // buckets)
+                    sums[bucket] = np.zeros((n, size)), np.zeros(n), []
+                value, weight, need = sums[bucket]
+                i, w = np.frombuffer(at, np.int32), np.maximum(np.frombuffer(counts), 1e-6)  # a row that no pair trained stays as it was
+                value[i] += np.frombuffer(vectors, np.float32).reshape(-1, size) * w[:, None]
+                weight[i] += w
+                need.append((part, at))
+            for bucket, (value, weight, need) in sums.items():
+                yield bucket, (value / np.maximum(weight, 1e-300)[:, None]).astype(np.float32).tobytes(), need
+
+        return run
+
+    def vectors(self) -> DataFrame:
+        """(word, vector array<float>) of all words."""
+        size, buckets, words = self.size, self.buckets, self.tree.words
+
+        def run(r) -> Iterator[tuple]:
+            for at, value in enumerate(np.frombuffer(bytes(r.vectors), np.float32).reshape(-1, size)):
+                if (id := at * buckets + r.bucket) < words:
+                    yield id, value.tolist()
+
+        spark = self.state.sparkSession
+        rows = spark.createDataFrame(self.state.rdd.flatMap(run), "id int, vector array<float>", verifySchema=False)
+        return rows.join(self.vocabulary, "id").select("word", "vector")
+
+    def means(self, texts: DataFrame) -> DataFrame:
+        """(row, mean array<double>): of the known words of (row, tokens), for rows with any."""
+        size, buckets, spark = self.size, self.buckets, texts.sparkSession
+        packed = self._packed(texts)
+
+        def asked(r) -> Iterator[tuple]:
+            ids = np.unique(np.frombuffer(bytes(r.words), np.int32)).astype(np.int64)
+            ids = ids[np.argsort(ids % buckets, kind="stable")]
+            ends = np.searchsorted(ids % buckets, np.arange(buckets + 1))
+            for bucket in np.flatnonzero(np.diff(ends)).tolist():
+                yield bucket, (r.part, (ids[ends[bucket]:ends[bucket + 1]] // buckets).astype(np.int32).tobytes())
+
+        def joined(items: Iterator[tuple]) -> Iterator[tuple]:
+            vectors, need = {}, {}
+            for bucket, (part, data) in items:
+                if part < 0:
+                    vectors[bucket] = data
+                else:
+                    need.setdefault(bucket, {}).setdefault(part, []).append(np.frombuffer(data, np.int32))
+            for bucket, parts in need.items():
+                yield bucket, vectors[bucket], [(part, np.unique(np.concatenate(at)).tobytes()) for part, at in parts.items()]
+
+        def mean(items: Iterator[tuple]) -> Iterator[tuple]:
+            pieces, given = [], []
+            for _, item in items:
+                (pieces if item[0] >= 0 else given).append(item)
+            if not pieces:
+                return
+            own = np.unique(np.concatenate([np.frombuffer(p[1], np.int32) for p in pieces]))
+            values = np.zeros((len(own), size), np.float32)
+            while given:
+                bucket, at, vectors = given.pop()
+                ids = np.frombuffer(at, np.int32).astype(np.int64) * buckets + (-1 - bucket)
+                values[np.searchsorted(own, ids)] = np.frombuffer(vectors, np.float32).reshape(-1, size)
+            sums: dict = {}  # a text may lie in two pieces
+            for _, words, rows in sorted(pieces):
+                words, rows = np.searchsorted(own, np.frombuffer(words, np.int32)), np.frombuffer(rows, np.int64)
+                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                for low, high in zip(first, np.append(first[1:], len(rows))):
+                    total, n = sums.pop(int(rows[low]), (0.0, 0))
+                    sums[int(rows[low])] = total + values[words[low:high]].sum(axis=0, dtype=np.float64), n + int(high - low)
+                    if len(sums) > 1:  # rows come in order, so the earlier one is whole
+                        row = next(iter(sums))
+                        total, n = sums.pop(row)
+                        yield row, (total / n).tolist()
+            for row, (total, n) in sums.items():
+                yield row, (total / n).tolist()
+
+        wanted = packed.rdd.flatMap(asked).union(self.state.rdd.map(lambda r: (r.bucket, (-1, bytes(r.vectors)))))
+        dealt = self._dealt(wanted.partitionBy(self.tasks, int).mapPartitions(joined))
+        feed = packed.rdd.map(lambda r: (r.part, (r.piece, bytes(r.words), bytes(r.rows)))).union(dealt)
+        return spark.createDataFrame(feed.partitionBy(self.parts, int).mapPartitions(mean), "row bigint, mean array<double>", verifySchema=False)
