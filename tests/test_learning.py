@@ -1,13 +1,18 @@
 """Features, sampling, neighbours, resampling and models on small corpora."""
 
+import math
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from wordloom.operators import classifiers as cl, features as ft, metrics as mt, neighbors as nb, sampling as sp
+from wordloom.operators import classifiers as cl, features as ft, metrics as mt, neighbors as nb, sampling as sp, terms
 from wordloom.operators.neighbors import knn_join, knn_predict
+from wordloom.operators.ranking import rank_by_frequency
 from wordloom.operators.resample import smote
 from wordloom.plans import experiments as ex
 
@@ -361,3 +366,58 @@ def test_rare_columns_are_not_made_dense(monkeypatch):
         full[i, c] = v
     expected = np.sqrt(np.maximum((full[:300] ** 2).sum(1)[:, None] + (full ** 2).sum(1) - 2 * full[:300] @ full.T, 0))
     assert np.allclose(found, expected, atol=1e-6)
+
+
+@pytest.mark.parametrize("max_n", [1, 2, 3])
+def test_a_large_vocabulary_is_looked_up_without_shuffling_pairs(spark, monkeypatch, max_n):
+    rows = [(1, "The cat sat on the mat, the cat"), (1, "cat sat again"), (None, "cat sat x yy"), (None, "the cat"), (2, None), (3, ""),
+            (4, "a b c"), (5, "Ünï_wörd 12 the cat sat on"), (6, "the cat " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(ft, "VOCABULARY_ROWS", 0)
+    monkeypatch.setattr(terms, "PART_CHARS", 10)
+    monkeypatch.setattr(terms, "BUCKET_CHARS", 10)
+    counts, df, total = {}, {}, {}
+    for id, text in rows:
+        words = [w for w in re.split(r"\W+", (text or "").lower()) if len(w) > 1]
+        grams = [" ".join(words[i:i + n]) for n in range(1, max_n + 1) for i in range(len(words) - n + 1)]
+        for g in grams:
+            counts[id, g] = counts.get((id, g), 0) + 1
+            total[g] = total.get(g, 0) + 1
+        for g in set(grams):
+            df[g] = df.get(g, 0) + 1
+    assert {r.term: (r.doc_freq, r.total) for r in ft.term_stats(docs, max_n=max_n).collect()} == {g: (df[g], total[g]) for g in df}
+    vocabulary = ft.fit_vocabulary(docs, max_n=max_n, percent=None)
+    kept = {r.term for r in vocabulary.collect()}
+    assert kept == {g for g in df if df[g] > 1}
+    tf = ft.tf_features(docs, vocabulary, max_n=max_n)
+    assert sorted((str(r.doc_id), r.term, r.tf) for r in tf.collect()) == sorted((str(i), g, n) for (i, g), n in counts.items() if g in kept)
+    for sublinear in (False, True):
+        weight = {(i, g): (1 + math.log(n) if sublinear else n) * (math.log((1 + len(rows)) / (1 + df[g])) + 1) for (i, g), n in counts.items() if g in kept}
+        long = ft.tfidf_features(docs, vocabulary, max_n=max_n, sublinear=sublinear)
+        found = {(r.doc_id, r.term): r.weight for r in long.collect()}
+        assert found.keys() == weight.keys()
+        for (i, g), w in weight.items():
+            assert found[i, g] == pytest.approx(w / math.sqrt(sum(v * v for (j, _), v in weight.items() if j == i)), abs=1e-6)
+        for features in (tf, long):  # no pair is joined or regrouped
+            plan = features._jdf.queryExecution().executedPlan().toString()
+            assert "Window" not in plan and "Join" not in plan and "hashpartitioning(term" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 9])
+def test_a_vocabulary_is_cut_by_rank(spark, size):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["aa aa aa bb cc", "bb dd dd", "ee ff cc"])], "doc_id bigint, text string")
+    stats = ft.term_stats(docs, max_n=1)
+    ranked = rank_by_frequency(stats, "term", "total").filter(F.col("rank") <= size)
+    kept = ft.fit_vocabulary(docs, max_n=1, min_df=1, max_features=size)
+    assert {r.term for r in kept.collect()} == {r.term for r in ranked.collect()}
+    assert kept.count() == min(size, 6) and {r.n_docs for r in kept.collect()} == {3}
+
+
+def test_texts_are_counted_in_chunks(monkeypatch):
+    """No row is lost or cut; a chunk has at most `CHUNK_WORDS` words or one row."""
+    monkeypatch.setattr(terms, "CHUNK_WORDS", 4)
+    rows = [["a"] * n if n is not None else None for n in (1, 3, 0, None, 9, 2, 1, 1, 1, 4, 0, 7)]
+    batches = [pa.array(rows[:5], pa.list_(pa.string())), pa.array([], pa.list_(pa.string())), pa.array(rows[5:], pa.list_(pa.string()))]
+    chunks = [c.to_pylist() for c in terms._chunks(iter(batches))]
+    assert [r for c in chunks for r in c] == rows and len(chunks) > 4
+    assert all(sum(len(r or []) for r in c) <= 4 or sum(bool(r) for r in c) == 1 for c in chunks)
