@@ -11,7 +11,7 @@ from wordloom.functions import text as T
 from wordloom.functions.rows import explode_rows
 from wordloom.operators.ranking import rank_by_frequency
 from wordloom.operators.terms import looked_up, summed_terms
-from wordloom.plans.storage import broadcast_if_small, fits_broadcast, materialize
+from wordloom.plans.storage import broadcast_if_small, drop_path, fits_broadcast, materialize, written
 
 VOCABULARY_ROWS = 100_000  # of a broadcast vocabulary; its bytes are limited too
 
@@ -43,7 +43,7 @@ def fit_vocabulary(df: DataFrame, text: str = "text", id: str = "doc_id", max_n:
     ten. The most frequent terms stay; among the terms as frequent as the last one, `rank_by_frequency` decides.
     """
     n_docs = df.agg(F.count("*").alias("n"))
-    stats = materialize(summed_terms(df, text, max_n, min_df))
+    stats, path = written(summed_terms(df, text, max_n, min_df))
     kept = stats.filter(F.col("term").isNotNull())
     if max_features is None and percent is not None:
         single = stats.filter(F.col("term").isNull()).agg(F.sum("total")).first()[0] or 0
@@ -59,7 +59,9 @@ def fit_vocabulary(df: DataFrame, text: str = "text", id: str = "doc_id", max_n:
             if last["terms"] > room:
                 tied = rank_by_frequency(tied, "term", "total").filter(F.col("rank") <= room).drop("rank")
             kept = kept.filter(F.col("total") > last["total"]).union(tied)
-    return materialize(kept.withColumn("n_docs", n_docs.scalar()))
+    vocabulary = materialize(kept.withColumn("n_docs", n_docs.scalar()))
+    drop_path(df.sparkSession, path)
+    return vocabulary
 
 
 def tf_features(df: DataFrame, vocabulary: DataFrame, text: str = "text", id: str = "doc_id",
